@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNSET_DIR = "/tmp/checkpoints"
@@ -41,6 +41,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def salts(n: int) -> Column:
+    """One row for each of 0..n-1, as long."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `most` bytes of text (one row at least), so that memory doesn't follow the batch size."""
     for batch in batches:

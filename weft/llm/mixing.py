@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm._shared import materialize, only
+from weft.llm._shared import materialize, only, salts
 
 ROUNDS, CELLS, SALTS, DIGITS = 12, 20_000, 16, 10
 DIMS = ("source", "lang", "topic")
@@ -88,7 +88,7 @@ def calibrate(documents: DataFrame, targets: dict[str, dict[str, float]], even:
         joined = docs.join(F.broadcast(rates), same, "left")
     else:
         salt = F.pmod(F.xxhash64(F.col("doc_id"), F.col("mix.n_tokens")), F.lit(SALTS))
-        spread = rates.withColumn("_c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = rates.withColumn("_c_salt", salts(SALTS))
         joined = docs.join(spread, [*same, salt == F.col("_c_salt")], "left")
     p = F.coalesce(F.col("_c_p"), F.lit(0.0))
     return joined.withColumn("mix", F.struct("mix.*", p.alias("probability"), (draw(F.col("doc_id")) < p).alias("sampled"))).select(*documents.columns, "mix")
