@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 UNSET_DIR = "/tmp/checkpoints"
 
@@ -164,3 +165,53 @@ def numbered(make, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         yield make(batch, at)
         at += batch.num_rows
+
+
+#: Bits of a bitmap: 16 per hash, between these. So it is 16 MB at most; beyond that more rows pass it, none is lost.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+
+class Bitmap:
+    """Hashes (long) of a table as bits: a hash of the table always passes, another one seldom does."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        n = 16 * hashes.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << n.bit_length()))
+        size, mask = self.bits // 8, np.uint64(self.bits - 1)
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size, np.uint8)
+            for batch in batches:
+                at = (mix(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & mask).astype(np.int64)
+                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size, np.uint8)
+            for batch in batches:
+                for m in batch.column("map"):
+                    out |= np.frombuffer(m.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
+
+        rows = hashes.select(column).mapInArrow(marked, "map binary").coalesce(4).mapInArrow(merged, "map binary").collect()
+        data = np.zeros(size, np.uint8)
+        for r in rows:
+            data |= np.frombuffer(r["map"], np.uint8)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(data)
+
+    def test(self, column: pa.Array) -> np.ndarray:
+        at = (mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key (a long, not null) is not in gone (a table with that one column). Only rows that a bitmap of gone lets pass are shuffled."""
+    passing, flag = Bitmap(gone, key), f"_maybe_{key}"
+    schema = StructType([*df.schema.fields, StructField(flag, BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passing.test(batch.column(key)))], names=[*batch.schema.names, flag])
+
+    seen = df.mapInArrow(run, schema)
+    return seen.where(~F.col(flag)).union(seen.where(flag).join(gone, key, "left_anti").select(*seen.columns)).drop(flag)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, materialize, numbered, only, text_buffer, windows, word_hashes, word_spans
+from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, materialize, numbered, only, text_buffer, windows, without, word_hashes, word_spans
 
 SPAN, SHINGLE, SHARE = 13, 3, 20
 BITMAP = 1 << 22
@@ -192,10 +192,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns. A text's verdict is the same in each row that holds it."""
-    marked = documents.withColumn("_at", F.xxhash64(F.col("text").cast("string")))
-    verdict = contamination(marked.select(F.col("_at").alias("doc_id"), "text"), benchmark)
-    gone = materialize(verdict.where("contaminated").select(F.col("doc_id").alias("_at")).distinct())
-    return marked.join(gone, "_at", "left_anti").drop("_at").select(*documents.columns)
+    key = "_weft_key"
+    marked = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    verdict = contamination(marked.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    return without(marked, key, materialize(verdict.where("contaminated").select(F.col("doc_id").alias(key)).distinct())).drop(key)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,36 +9,38 @@ shingle sets confirm each link.
 Scale: documents with one and the same shingle set meet in one representative first, so exact copies
 never form pairs. In a bucket only the pairs (hub, member) are confirmed; their components leave few
 buckets with members of more than one component, and only pairs across components are looked at
-there, after a test on one-bit sketches. All joins are equi-joins on hashes (AQE splits hot ones);
-shingle sets are made only for documents that stand in some pair; nothing is collected, no bucket is capped.
+there, after a test on parity bitmaps (the bits in which two differ are at most the shingles in which the sets
+differ, so the test drops no link). All joins are equi-joins on hashes (AQE splits hot ones);
+shingle sets are made only for documents that stand in some pair (a bitmap of their keys, 16 MB at most, finds them in the scan, so texts are never shuffled); nothing is collected, no bucket is capped.
 
 Links at the threshold are missed with probability (1 - s^ROWS)^BANDS, 5e-6 at s = 0.75, as any banding does.
 Shingles are compared by 64-bit fingerprints.
 
 Nulls and repeats: a null or empty text has the empty set, is linked with nothing and is kept. A row
 without doc_id takes part; its component is named by the smallest doc_id in it, null if there is none
-(then it is kept). Rows that repeat a doc_id are rows of their own. Extra columns are ignored.
+(then it is kept). Rows that repeat a doc_id are rows of their own (text_hash is a hash of doc_id and text: it finds a row again). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import LOWER, SPACED, chunks, drop_shared, materialize, mix, numbered, only, text_buffer, windows, word_hashes, word_spans
+from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, text_buffer, windows, without, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Of BINS one-bit coordinates, so many agree at least for a pair at the threshold, but for a chance under 1e-9.
-AGREE = 88
+#: Longs of a parity bitmap, and of its folded form that is tried first.
+LONGS, FOLDED = 32, 8
 
-_SIGN = "row_id long, doc_id long, text_hash long, n_shingles long, set_hash binary, bits array<long>, bands array<long>"
+_SIGN = "row_id long, doc_id long, text_hash long, n_shingles long, set_hash binary, parity array<long>, bands array<long>"
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -77,6 +79,15 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray], longs: int = LONGS) -> np.ndarray:
+    """For each set longs * 64 bits, each the parity of the number of shingles that fall on it."""
+    bits = longs * 64
+    flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    where = (mix(flat + np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(owner * bits + where, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), longs)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sign(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
         sets = shingle_sets(*text_buffer(batch.column("text")))
@@ -88,24 +99,29 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sketch[:, b * ROWS + k])
             bands[:, b] = acc
-        low = (mix(sketch) & np.uint64(1)).astype(np.uint8)
-        bits = np.packbits(low, axis=1).view(np.int64)
         full = sizes > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(bands[full].view(np.int64).reshape(-1)))
-        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bits.shape[1] + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * LONGS + 1, LONGS, dtype=np.int32)), pa.array(parities(sets).reshape(-1)))
         names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.arange(at, at + len(sets))), batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(names, pa.binary()), marks, lists],
-            names=["row_id", "doc_id", "text_hash", "n_shingles", "set_hash", "bits", "bands"],
+            names=["row_id", "doc_id", "text_hash", "n_shingles", "set_hash", "parity", "bands"],
         )
 
-    return numbered(sign, chunks(batches, "text"))
+    return numbered(sign, chunks(batches, "text", rows=1024))
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        sets = shingle_sets(*text_buffer(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+def _with_sets(passing: Bitmap):
+    """Row key, doc_id and shingle set of the rows whose key passes the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(passing.test(batch.column("text_hash"))))
+            for part in chunks(iter([some]), "text"):
+                sets = shingle_sets(*text_buffer(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "h", "shingles"])
+
+    return run
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +142,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _key(df: DataFrame) -> DataFrame:
     """doc_id, text and what finds the same row again in another scan."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.withColumn("text_hash", F.xxhash64("doc_id", "text"))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -134,11 +150,30 @@ def _near(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _folded(parity: str) -> list[Column]:
+    """The bitmap of FOLDED longs: the exclusive or of its parts is the bitmap of fewer bits."""
+    step = LONGS // FOLDED
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.get(parity, F.lit(k * step + i)) for i in range(step)]).alias(f"f{k}") for k in range(FOLDED)]
+
+
+def _alike(differ: Column, size: Column) -> Column:
+    """Whether sets of `size` shingles together can be similar enough if they differ in so many at least."""
+    return differ * (100 + PERCENT) <= size * (100 - PERCENT)
+
+
+def _parity(x: str, y: str) -> Column:
+    """The number of bits in which two bitmaps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
 def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough. docs: of _key; nodes: node, doc_id, text_hash."""
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough. docs: of _key; nodes: node, doc_id, text_hash, n, parity."""
+    one, two = (nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}")) for side in "ab")
+    pairs = materialize(pairs.join(one, "a").join(two, "b").where(_near(F.col("n_a"), F.col("n_b")) & _alike(_parity("p_a", "p_b"), F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    nodes = nodes.select("node", "doc_id", "text_hash")
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
-    same = docs["doc_id"].eqNullSafe(needed["doc_id"]) & (docs["text_hash"] == needed["text_hash"])
-    sets = materialize(docs.join(needed, same).select("node", "text").mapInArrow(_with_sets, "node long, shingles binary"))
+    made = docs.mapInArrow(_with_sets(Bitmap(needed, "text_hash")), "d long, h long, shingles binary")
+    sets = materialize(made.join(needed, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "shingles"))
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long").distinct())
     drop_shared(sets)
@@ -168,8 +203,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     signed = materialize(docs.mapInArrow(_signed, _SIGN))
     sets = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.min("doc_id").alias("least_id"))
     classes = materialize(sets.select("set_hash", F.col("first.row_id").alias("node"), "least_id"))
-    nodes = materialize(signed.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "bits", "bands"))
-    where = nodes.select("node", "doc_id", "text_hash")
+    nodes = materialize(signed.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "parity", "bands"))
+    where = nodes.select("node", "doc_id", "text_hash", "n", "parity")
 
     # Hubs: the smallest node of each bucket with at least two.
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
@@ -180,18 +215,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     looked = [stars]
 
     def across() -> DataFrame:
-        """Pairs that share a bucket but no component, near by size and one-bit sketch, and not looked at yet."""
+        """Pairs that share a bucket but no component, near by size and bitmap, and not looked at yet."""
         label = components(edges)
         now = members.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("comp", "node").alias("comp"))
         split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main")).where("low <> high")
-        open_ = now.join(split.select("key", "main"), "key").join(nodes.select("node", "bits"), "node").select("key", "node", "n", "comp", "main", F.col("bits")[0].alias("p"), F.col("bits")[1].alias("q"))
-        open_ = materialize(open_)
-        one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp", "main", "p", "q")]) for side in "xy")
-        same = F.lit(BINS) - F.bit_count(F.col("p_x").bitwiseXOR(F.col("p_y"))) - F.bit_count(F.col("q_x").bitwiseXOR(F.col("q_y")))
+        open_ = materialize(now.join(split.select("key", "main"), "key").join(nodes.select("node", "parity"), "node").select("key", "node", "n", "comp", "main", "parity", *_folded("parity")))
+        one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "key"]) for side in "xy")
+        size = F.col("n_x") + F.col("n_y")
+        first = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"f{k}_x").bitwiseXOR(F.col(f"f{k}_y"))) for k in range(FOLDED)])
         apart = F.col("comp_x") != F.col("comp_y")
         once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
-        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & (same >= AGREE))
-        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("node_x").alias("of"), same.alias("same"))
+        differ = _parity("parity_x", "parity_y")
+        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & _alike(first.cast("long"), size) & _alike(differ, size))
+        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("node_x").alias("of"), (-differ).alias("same"))
         for old in looked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         return pairs
@@ -215,12 +251,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents that stay, one of each component, with all their columns; repeated rows with one doc_id and text stay once."""
-    found = near_duplicates(documents)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
-    docs = documents.withColumn("_at", F.xxhash64(F.col("text").cast("string")))
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (docs["_at"] == gone["_gone_hash"])
-    return docs.join(gone, same, "left_anti").drop("_at")
+    """The rows of documents that stay, one of each component, with all their columns."""
+    key = "_weft_key"
+    gone = materialize(near_duplicates(documents).where(~F.col("kept")).select(F.col("text_hash").alias(key)).distinct())
+    return without(documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), key, gone).drop(key)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
