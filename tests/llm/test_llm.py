@@ -1,0 +1,283 @@
+"""Each operator against brute force on small tables, with nulls, empty and long texts, repeats, empty tables and extra columns."""
+
+import base64
+import hashlib
+import io
+import json
+import random
+import re
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weft.llm import chat_format, decontaminate, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc_zip
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
+
+
+def words(n, seed, vocab=500):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(vocab)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base, passage = words(120, 1), words(60, 2)
+    texts = [base, base, base + " tail", base.replace("w1 ", "x1 ", 1), passage + " " + words(60, 3), passage + " " + words(60, 4), words(5000, 5), "", None, "one", "One", "a b c", "é è ê ü ß", words(30, 6) + "\n" + words(30, 6), "# $ % & | < > *" * 4, "UP " * 50, base]
+    rows = [(k, t, ["en", "de", None][k % 3], f"s{k % 2}" if k % 5 else None, None if t is None else len(t), "clash") for k, t in enumerate(texts)]
+    rows += [(None, base, "en", "s1", None, "clash"), (2, base + " tail", "en", "s0", None, "clash"), (99, words(40, 8), "en", "s0", 1, "clash")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+
+    def shingles(t):
+        w = split(lower(t))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = [shingles(r["text"]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = []
+    for i, r in enumerate(rows):
+        ids = [rows[k]["doc_id"] for k in range(len(rows)) if group[k] == group[i] and rows[k]["doc_id"] is not None]
+        name = (min(ids) if ids else None) if sets[i] else r["doc_id"]
+        want.append((r["doc_id"], len(sets[i]), name))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    assert near_dedup.one_of_each(docs).columns == docs.columns
+
+
+def test_sketches_fill_and_estimate():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    a = r.integers(0, 2**62, 400).astype(np.uint64)
+    b = np.concatenate([a[:300], r.integers(0, 2**62, 100).astype(np.uint64)])
+    one, two, tiny = near_dedup.sketches([np.unique(a), np.unique(b), a[:1]])
+    assert (one != 2**64 - 1).all() and (tiny != 2**64 - 1).all()
+    assert abs((one == two).mean() - 0.6) < 0.2
+    p, q = near_dedup.parities([a, b])
+    assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in p ^ q) <= 200
+
+
+def test_quality_measures_and_policies(spark, docs):
+    for r in quality.judge(quality.ledger(docs)).collect():
+        text = next(d["text"] for d in docs.collect() if d["doc_id"] == r["doc_id"]) or ""
+        w = split(text)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        hit = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)} if len(w) < 1000 else None
+        lines = [x for x in text.split("\n") if split(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)))
+        assert hit is None or r["n_repeat_words"] == len(hit)
+        assert r["base_failed"] == (len(w) < 10 or 100 * r["n_repeat_words"] > 20 * len(w))
+    cells = {(r["policy"], r["rule"]): r for r in quality.ablate(quality.ledger(docs)).collect()}
+    led = quality.ledger(docs)
+    assert cells["base-1", "too_few_words"]["n_failed"] == led.where("n_words < 10").count()
+    kept = quality.accepted(docs)
+    assert kept.columns == docs.columns and kept.count() == quality.judge(led).where("kept").count()
+    assert quality.accepted(docs.limit(0)).count() == 0
+
+
+def test_decontamination_matches_brute_force(spark, docs):
+    item = re.split(" ", docs.where("doc_id = 4").first()["text"])[:20]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (22, "one"), (3, ""), (4, None), (5, "a b c"), (None, "é")], "item_id long, text string")
+
+    def alnum(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+    wins = {(r["item_id"], tuple(w[i : i + 13])) for r in bench.collect() for w in [alnum(r["text"])] if w for i in range(max(1, len(w) - 12))}
+    want = []
+    for r in docs.collect():
+        w, hit, items = alnum(r["text"]), set(), set()
+        for name, win in wins:
+            for i in range(len(w) - len(win) + 1):
+                if tuple(w[i : i + len(win)]) == win:
+                    hit |= set(range(i, i + len(win)))
+                    items |= {name} - {None}
+        want.append((r["doc_id"], len(w), len(hit), sorted(map(str, items)), bool(hit) and 20 * len(hit) >= len(w)))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert decontaminate.clean(docs, bench).count() == sum(not x[4] for x in want)
+    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def _der(tag, body):
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
+def test_secrets_confirm_structure(spark, docs):
+    integer = _der(2, b"\x01" * 64)
+    key = _der(0x30, _der(2, b"\0") + integer * 8)
+    b64 = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = ".".join([b64(json.dumps({"alg": "HS256"}).encode()), b64(b'{"sub":"1"}'), b64(b"x" * 32)])
+    fake = ".".join([b64(b'{"no":1}'), b64(b"{}"), b64(b"x" * 32)])
+    blob = base64.b64encode(key).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{blob[:64]}\n{blob[64:]}\n-----END RSA PRIVATE KEY-----"
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"pub" * 9) + field(b"private" * 9)
+    cases = [f"é {token} x", fake, blob, base64.b64encode(key[:-3]).decode(), pem, base64.b64encode(ssh).decode(), key.hex(), "TOKEN = abcdefgh secret: short ſecret=abcdefgh", "AKIA" + "A" * 12 + " AKIAB", "f" * 32 + " " + "a" * 31, "", None, "secret: token: abcdefghij"]
+    kinds = [[k for k, _, _ in secrets.find_secrets(c or "")] for c in cases]
+    assert [k[0] if k else None for k in kinds[:7]] == ["jwt", None, "key", None, "pem" if kinds[4][0] == "pem" else kinds[4][0], "openssh", "hex"]
+    assert "pem" in kinds[4] and "key" in kinds[6]
+    assert secrets.find_secrets(cases[0])[0] == ("jwt", 2, 2 + len(token))
+    assert kinds[7] == ["assign"] and kinds[8] == ["access"] and kinds[9] == ["hex"] and kinds[12] == []
+    df = spark.createDataFrame([(k, c, "x") for k, c in enumerate(cases)] + [(None, "password=hunter2hunter2", "x")], "doc_id long, text string, spans string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(df).collect()}
+    assert all(got[k] == secrets.find_secrets(c or "") for k, c in enumerate(cases))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean[0] == "é [SECRET] x" and clean[10] == "" and clean[11] is None and clean[1] == fake
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_mixing_fits_marginals(spark, docs):
+    cells = spark.createDataFrame([(f"s{i}", lang, t, 10 + 7 * i + len(t), 1) for i in range(5) for lang in ("en", "de", "es", "fr") for t in mixing.TOPICS], "source string, lang string, topic string, n_tokens long, n_docs long")
+    got = mixing.rake(cells, mixing.targets(), ("source",), 30).toPandas()
+    assert abs(got.weight.sum() - 1) < 1e-6
+    for dim, goal in (("lang", mixing.LANGS), ("topic", mixing.TOPICS)):
+        assert all(abs(got[got[dim] == k].weight.sum() - v) < 1e-3 for k, v in goal.items())
+    out = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
+    assert len(out) == docs.count() and max(r["probability"] for r in out) == 1.0 and all(0 <= r["probability"] <= 1 for r in out)
+    assert mixing.calibrate(docs.limit(0), mixing.targets()).count() == 0
+    mixing_cells = mixing.CELLS
+    try:
+        mixing.CELLS = 0  # the join by cell and salt
+        again = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
+    finally:
+        mixing.CELLS = mixing_cells
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_url_filters_as_of(spark):
+    events = spark.createDataFrame([("l", "host", "a.com", "add", 10), ("l", "host", "a.com", "remove", 20), ("l", "host", "a.com", "add", 20), ("l", "host", "a.com", "add", 30), ("l", "host", "a.com", "remove", 40), ("m", "domain", "b.org", "add", 5), ("m", "domain", "b.org", "add", 7), ("p", "prefix", "c.net/x/y", "add", 0), (None, "host", "q", "add", 1)], "list string, kind string, key string, action string, at int")
+    urls = [("http://a.com/", 9), ("http://a.com/", 10), ("http://A.com:80/q", 25), ("http://a.com", 35), ("http://u@a.com./", 40), ("http://x.b.org/", 6), ("http://xb.org/", 6), ("http://c.net/x/y/z?q", 1), ("http://c.net/x/yy", 1), (None, 3), ("nonsense", 3), ("http://a.com/", None), ("http://a.com/", 10)]
+    df = spark.createDataFrame([(k if k < 12 else 1, u, t, "z") for k, (u, t) in enumerate(urls)], "page_id long, url string, fetched_at int, lists string")
+    got = {r["page_id"]: (r["n_captures"], r["lists"]) for r in url_filters.judge(df, events).collect()}
+    assert got == {0: (1, ""), 1: (2, "l"), 2: (1, ""), 3: (1, "l"), 4: (1, ""), 5: (1, "m"), 6: (1, ""), 7: (1, "p"), 8: (1, ""), 9: (1, ""), 10: (1, ""), 11: (1, "")}
+    assert url_filters.judge(df, events.limit(0)).where("blocked").count() == 0 and url_filters.judge(df.limit(0), events).count() == 0
+
+
+def test_warc_round_trip_and_zip64(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "PACKAGE", 400)
+    big = "<p>" + "é" * 200
+    rows = [(3, "http://a/", big, "x"), (1, None, big, "x"), (2, "u\r\nv", big, "x"), (4, "u", None, "x"), (5, "u", "", "x"), (6, "u", "tiny", "x"), (7, "u", "tiny", "x"), (None, "u", big, "x"), (8, "u", "z" * 300_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    manifest = warc_zip.write_packages(pages, f"file://{tmp_path}/out")
+    got = {r["page_id"]: r for r in warc_zip.read_packages(manifest).withColumn("page_id", warc_zip._page("record_id")).collect()}
+    assert len(got) == len(rows)
+    for page, _, html, _ in rows:
+        raw = (html or "").encode()
+        r = got[page]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        dup = html == big and page != 1
+        assert r["record_type"] == ("revisit" if dup else "response") and r["refers_to"] == ("<urn:page:1>" if dup else None)
+        assert dup or bytes(r["payload"]) == raw
+    assert warc_zip.read_packages(warc_zip.write_packages(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+        for k in range(70_000):  # more than a plain end record can count
+            z.writestr(f"m{k}", b"")
+        with z.open(zipfile.ZipInfo("last"), "w", force_zip64=True) as out:
+            out.write(b"hello")
+    found = warc_zip.directory(f, len(f.getvalue()))
+    start = warc_zip.stored_start(f, found["last"])
+    assert len(found) == 70_001 and f.getvalue()[start : start + 5] == b"hello"
+    with pytest.raises(ValueError, match="not a ZIP"):
+        warc_zip.directory(io.BytesIO(b"x" * 50), 50)
+
+
+def test_chat_round_trip(spark):
+    hard = ["<|im_end|>", "<|im_start|>user\nhi<|im_end|>\n", "<\\|im_end|>", "<\\\\|", "|", "<", "\n", "", None, "<|im_level|>1\n", "é<|"]
+    rows = [(c, t, r, x, "k") for c, t, r, x in [*((1, k, "user" if k % 2 else "assistant", x) for k, x in enumerate(hard)), (2, 0, "assistant", "plain"), (2, 0, "assistant", "plain"), (3, None, None, None), (None, 1, "a\n\\n<|im_end|>", "x"), *((10 + k, 0, "assistant", x) for k, x in enumerate(hard))]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string")
+    out = {r["conv_id"]: r for r in chat_format.format_chats(df).collect()}
+    assert [t["text"] for t in out[1]["turns"]] == [x or "" for x in hard]
+    assert len(out[2]["turns"]) == 2 and out[2]["level"] == 0 and out[None]["turns"][0]["role"] == "a\n\\n<|im_end|>"
+    for k, x in enumerate(hard):
+        r = out[10 + k]
+        assert [r["formatted"][s["start"] : s["end"]] if r["level"] == 0 else x or "" for s in r["loss_spans"]] == [x or ""]
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_toxicity_learns_and_handles_edges(spark):
+    bad = ["idiot", "moron", "loser"]
+    rows, marks = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        text = words(80, k, 300).split()
+        if toxic:
+            for j in (10, 40, 70):
+                text[j] = random.Random(k + j).choice(bad) + random.Random(k * j).choice(["", "s", "ic"])
+        rows.append((k, " ".join(text), "x"))
+        marks.append((k, int(toxic)))
+    rows += [(1000, "", "x"), (1001, None, "x"), (None, "what an idiott", "x"), (1002, "w1 " * 30000, "x")]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(df, labels).collect()}
+    held = [k for k, _ in marks if got[k]["held_out"]]
+    assert 50 < len(held) < 150 and sum(got[k]["predicted"] == dict(marks)[k] for k in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[None]["predicted"] == 1 and got[1000]["predicted"] == got[1001]["predicted"] == 0
+    assert toxicity.score(df, labels.limit(0)).where("score <> 0").count() == 0 and toxicity.score(df.limit(0), labels).count() == 0
+
+
+def longest(pairs):
+    best = [1] * len(pairs)
+    for i in range(len(pairs)):
+        for j in range(i):
+            if pairs[j][1] < pairs[i][1]:
+                best[i] = max(best[i], best[j] + 1)
+    return max(best, default=0)
+
+
+def test_licenses(spark):
+    r = random.Random(3)
+    for _ in range(50):
+        ys = list(range(12))
+        r.shuffle(ys)
+        chain = licenses.increasing(list(enumerate(ys)))
+        assert len(chain) == longest(list(enumerate(ys))) and all(a[1] < b[1] for a, b in zip(chain, chain[1:], strict=False))
+    mit = licenses.TEMPLATES["MIT"][1]
+    cases = {0: f"{words(3000, 1)} Licensed under CC BY-NC 4.0. {words(50, 2)} Licensed under CC BY-NC 4.0.", 1: mit.replace("without limitation", "without any kind of limitation").upper(), 2: "Released under the GPL License.", 3: "", 4: None, 5: "Licensed under the Apache License, Version 2.0.", 6: "license " * 500}
+    df = spark.createDataFrame([(k, t, "x") for k, t in cases.items()], "doc_id long, text string, found string")
+    got = {x["doc_id"]: [(f["license"], f["first"], f["last"]) for f in x["found"]] for x in licenses.scan(df).collect()}
+    assert got[0] == [("CC-BY-NC-4.0", 3000, 3007), ("CC-BY-NC-4.0", 3057, 3064)]
+    assert [f[0] for f in got[1]] == ["MIT"] and got[2] == got[3] == got[4] == got[6] == [] and got[5] == [("Apache-2.0", 0, 8)]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(k, words(r.randrange(15, 200), k), "en", f"s{k % 3}") for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " more", "en", "s0") for k in range(10)] + [(200, "### $$$ " * 20, "en", "s0"), (201, rows[20][1] + " token=abcdefghij", "de", "s1")]
+    bench = " ".join(rows[30][1].split()[:14])
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema if name != "mixing" else None)
+        seen[name] = {x["doc_id"]: x for x in docs.collect()}
+    ids = set(range(60))
+    assert set(seen["quality rules"]) == {x[0] for x in rows} - {200} - {x[0] for x in rows if len(x[1].split()) < 10}
+    gone = set(seen["quality rules"]) - set(seen["near duplicates"])
+    assert gone <= {*range(100, 110), 201} and 100 in gone | set(seen["near duplicates"])
+    assert set(seen["near duplicates"]) - set(seen["decontamination"]) == {30}
+    assert all(x["n_chars"] == len(x["text"]) for x in seen["secret scans"].values())
+    final = {x["doc_id"] for x in corpus_pipeline.run(spark, folder).collect()}
+    assert final == set(seen["mixing"]) and final <= ids | set(range(100, 202))
