@@ -267,7 +267,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_packages(manifest: DataFrame) -> DataFrame:
     """The records of the packages: record_type, record_id, target_uri, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
-    dealt = manifest.select("package").repartition("package").mapInArrow(_ranges, "package string, start long, length long").repartition("package", "start")
+    # A number given outright: rows of ranges are tiny, and merged by their own size few tasks would read all the bytes.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = manifest.select("package").repartition(parts, "package").mapInArrow(_ranges, "package string, start long, length long").repartition(parts, "package", "start")
     return dealt.mapInArrow(_records, "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 
 
