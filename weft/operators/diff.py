@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.tensors import JOB, SPAN, Payload
+from weft.sources.tensors import JOB, SPAN, Payload, dealt
 
 SUMS = ["elements", "equal", "finite_pairs", "nonfinite_mismatch", "max_abs_diff", "sum_abs", "sum_sq", "sum_aa", "sum_bb", "sum_ab"]
 
@@ -103,7 +103,8 @@ def compare(a: DataFrame, b: DataFrame, prefixes: tuple[str, ...] = ()) -> DataF
     pairs = matched(a, b, prefixes)
     some = pairs.where("outcome = 'compared' and a_elements > 0")
     cut = some.select("norm", *[f"{s}_{c}" for s in "ab" for c in ("path", "dtype", "file_offset", "file_size", "changed")], "a_elements", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a_elements") - 1, F.lit(SPAN).cast("long"))).alias("start"))
-    cut = cut.withColumn("n", F.least(F.lit(SPAN).cast("long"), F.col("a_elements") - F.col("start"))).drop("a_elements").repartition("norm", "start")
+    cut = cut.withColumn("n", F.least(F.lit(SPAN).cast("long"), F.col("a_elements") - F.col("start"))).drop("a_elements")
+    cut = dealt(cut, "norm", "start")
     kinds = ", ".join(f"{n} {'long' if k < 4 else 'double'}" for k, n in enumerate(SUMS))
     got = folded(cut.mapInArrow(_pairs, f"norm string, job long, {kinds}"), ["norm"], "job")
     out = pairs.join(got, "norm", "left")

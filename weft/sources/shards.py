@@ -48,4 +48,4 @@ def write_shards(rows: DataFrame, folder: str, kind: str = "safetensors", dtype:
     spark = rows.sparkSession
     table = f"{folder}/manifest"
     rows.select("values").mapInArrow(run, "path string").write.parquet(table)
-    return spark.read.schema("path string").parquet(table).repartition("path")
+    return spark.read.schema("path string").parquet(table).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")

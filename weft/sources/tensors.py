@@ -82,6 +82,11 @@ def _table(rows, schema: str):
 scan_tensors, scan_files, scan_metadata = _table(tensor_rows, TENSORS), _table(file_rows, FILES), _table(metadata_rows, METADATA)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows that stand for byte ranges, over all tasks of a shuffle; merged by their own small size few tasks would read all the bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def spans(tensors: DataFrame, unit: str = "elements") -> DataFrame:
     """Payload units of the decodable, non-empty tensors: path, tensor_pos, dtype, file_offset, file_size, changed, start, n. unit rows: whole rows, so that start and n count rows."""
     own = ["path", "tensor_pos", "dtype", "file_offset", "file_size", "changed"]
@@ -93,7 +98,7 @@ def spans(tensors: DataFrame, unit: str = "elements") -> DataFrame:
         some = some.where("row_len > 0").withColumn("step", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(SPAN) / F.col("row_len"))))
         some = some.select(*own, "row_len", "n_rows", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.col("step"))).alias("start"))
         out = some.select(*own, "row_len", "start", F.least("step", F.col("n_rows") - F.col("start")).alias("n"))
-    return out.repartition("path", "tensor_pos", "start")
+    return dealt(out, "path", "tensor_pos", "start")
 
 
 class Payload:
