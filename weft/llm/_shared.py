@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -47,7 +49,27 @@ def salts(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+#: Rows of texts that pass between Spark and Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches held to BATCH_ROWS rows in its session: rows of whole texts are large, and each worker holds a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept and reused, and what they hold adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `most` bytes of text (one row at least), so that memory doesn't follow the batch size."""
     for batch in batches:
         size = np.diff(text_buffer(batch.column(text))[1])
@@ -57,6 +79,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20, ro
             end = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + most, "right")) - 1))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,5 +236,5 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passing.test(batch.column(key)))], names=[*batch.schema.names, flag])
 
-    seen = df.mapInArrow(run, schema)
+    seen = small_batches(df).mapInArrow(run, schema)
     return seen.where(~F.col(flag)).union(seen.where(flag).join(gone, key, "left_anti").select(*seen.columns)).drop(flag)

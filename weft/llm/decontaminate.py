@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, materialize, numbered, only, text_buffer, windows, without, word_hashes, word_spans
+from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, materialize, numbered, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
 
 SPAN, SHINGLE, SHARE = 13, 3, 20
 BITMAP = 1 << 22
@@ -154,7 +154,7 @@ def _candidates(shared):
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_id, doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated: one row per row of documents."""
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     each = materialize(items.mapInArrow(_item_windows, "item_id long, words string, len int, width int, shingles array<long>, places array<int>"))

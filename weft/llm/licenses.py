@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, only, text_buffer, word_hashes, word_spans
+from weft.llm._shared import ALNUM, LOWER, chunks, only, small_batches, text_buffer, word_hashes, word_spans
 
 COVER, SHORT = 0.8, 12
 
@@ -177,7 +177,7 @@ def scan(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), found], names=["doc_id", "n_words", "found"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_words long, found array<struct<license: string, first: long, last: long, coverage: double>>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_words long, found array<struct<license: string, first: long, last: long, coverage: double>>")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, text_buffer, windows, without, word_hashes, word_spans
+from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
 BINS, ROWS = 128, 4
@@ -199,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """row_id, doc_id, text_hash, n_shingles, component_id, kept: one row per row of documents (columns doc_id, text)."""
-    docs = _key(documents)
+    docs = small_batches(_key(documents))
     signed = materialize(docs.mapInArrow(_signed, _SIGN))
     sets = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.min("doc_id").alias("least_id"))
     classes = materialize(sets.select("set_hash", F.col("first.row_id").alias("node"), "least_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weft.llm._shared import SPACED, chunks, only, text_buffer, windows, word_hashes, word_spans
+from weft.llm._shared import SPACED, chunks, only, small_batches, text_buffer, windows, word_hashes, word_spans
 
 WINDOW = 5
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
@@ -112,7 +112,7 @@ def failures(named=lambda rule: rule) -> Column:
 def ledger(documents: DataFrame) -> DataFrame:
     """doc_id, the measurements, fail_bits."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_measured, _LEDGER).withColumn("fail_bits", failures())
+    return small_batches(docs).mapInArrow(_measured, _LEDGER).withColumn("fail_bits", failures())
 
 
 def judge(of: DataFrame, policy: str = POLICY) -> DataFrame:
@@ -145,7 +145,7 @@ def accepted(documents: DataFrame, policy: str = POLICY) -> DataFrame:
             found = measure(*text_buffer(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(found[m]) for m in _MEASURES], list(_MEASURES))], names=[*batch.schema.names, held])
 
-    seen = documents.mapInArrow(ride, schema)
+    seen = small_batches(documents).mapInArrow(ride, schema)
     bits = failures(lambda rule: reduce(lambda text, m: re.sub(rf"\b{m}\b", f"`{held}`.{m}", text), _MEASURES, rule))
     none, some, most = POLICIES[policy]
     return seen.where((bits.bitwiseAND(F.lit(BASE | none)) == 0) & (F.bit_count(bits.bitwiseAND(F.lit(some))) < most)).drop(held)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from weft.llm._shared import LOWER, chunks, only, text_buffer, word_spans
+from weft.llm._shared import LOWER, chunks, only, small_batches, text_buffer, word_spans
 
 #: Kinds in the order that breaks ties of the start; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "key", "openssh", "pem")
@@ -221,7 +221,7 @@ def scan(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _spans(batch)], names=["doc_id", "spans"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id long, spans {_SPANS}")
+    return small_batches(docs).mapInArrow(run, f"doc_id long, spans {_SPANS}")
 
 
 def redact(documents: DataFrame, mark: str = MARK) -> DataFrame:
@@ -249,7 +249,7 @@ def redact(documents: DataFrame, mark: str = MARK) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
             yield batch
 
-    return documents.mapInArrow(run, schema)
+    return small_batches(documents).mapInArrow(run, schema)
 
 
 def _equal(kind: str):

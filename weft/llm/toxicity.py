@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, materialize, only, text_buffer
+from weft.llm._shared import ALNUM, LOWER, chunks, materialize, only, small_batches, text_buffer
 
 BUCKETS, DIM, SPAN, GRAMS = 1 << 18, 8, 12, (3, 4, 5)
 TOXIC, CLEAN, WINDOWS = 1500, 3000, {1: 200, 0: 16}
@@ -207,7 +207,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, flo
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
+    model = fit(small_batches(docs), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
     if model is None:
         out = docs.select("doc_id", F.lit(0.0).alias("score"))
     else:
