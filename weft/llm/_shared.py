@@ -49,16 +49,17 @@ def salts(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-#: Rows of texts that pass between Spark and Python at once.
-BATCH_ROWS = 1000
+#: Rows of texts that pass between Spark and Python at once, and their bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches held to BATCH_ROWS rows in its session: rows of whole texts are large, and each worker holds a batch or two."""
+    """df, with Arrow batches held to BATCH_ROWS rows and BATCH_BYTES bytes in its session: rows of whole texts are large, and each worker holds a batch or two."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -195,13 +195,16 @@ def _scan(raw: np.ndarray, offs: np.ndarray) -> list[list[tuple[str, int, int]]]
             i = int(np.searchsorted(offs, at, "right")) - 1
             look.add(i)
             at = where.find(name, int(offs[i + 1]))
-    lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if look else raw
+    # Bytes that begin no code point: few, so places in code points take little memory.
+    inner = np.flatnonzero((raw & 0xC0) == 0x80) if look else np.zeros(0, np.int64)
     for i in look:
         text = data[offs[i] : offs[i + 1]].decode("utf-8", "replace")
         own = {}
         for name, (s, e, r) in spans.items():
             a, b = np.searchsorted(r, [i, i + 1])
-            own[name] = [(int(lead[x] - lead[offs[i]]), int(lead[y] - lead[offs[i]])) for x, y in zip(s[a:b], e[a:b], strict=True)]
+            first = np.searchsorted(inner, offs[i])
+            s, e = (at - offs[i] - (np.searchsorted(inner, at) - first) for at in (s[a:b], e[a:b]))
+            own[name] = list(zip(s.tolist(), e.tolist(), strict=True))
         out[i] = find_secrets(text, own["hex"], own["run"])
     return out
 
