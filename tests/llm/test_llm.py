@@ -155,6 +155,12 @@ def test_mixing_fits_marginals(spark, docs):
     out = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
     assert len(out) == docs.count() and max(r["probability"] for r in out) == 1.0 and all(0 <= r["probability"] <= 1 for r in out)
     assert mixing.calibrate(docs.limit(0), mixing.targets()).count() == 0
+    # A rare cell with a large weight is drawn whole and doesn't thin out the rest: half of the tokens are expected to be drawn.
+    rare = spark.createDataFrame([("rare", "en", "long", 5, 0.5), ("a", "en", "long", 60_000, 0.3), ("b", "en", "long", 40_000, 0.2), ("none", "en", "long", 0, 0.0)], "source string, lang string, topic string, n_tokens long, weight double").withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0))
+    found = mixing.factor(rare, 0.5).first()
+    drawn = sum(min(n, found["factor"] * w) for n, w in ((5, 0.5), (60_000, 0.3), (40_000, 0.2)))
+    assert found["n"] == 4 and abs(drawn - 0.5 * 100_005) < 1e-3
+    assert mixing.factor(rare.limit(0), 0.5).first()["factor"] is None
     mixing_cells = mixing.CELLS
     try:
         mixing.CELLS = 0  # the join by cell and salt

@@ -2,8 +2,10 @@
 
 Token counts are summed by cell (source, language, topic). Raking scales the cells to each of the
 three target marginals in turn, ROUNDS times; a cell's weight over its tokens is its
-calibrated rate, and a document is drawn with the probability rate / highest rate (times a share), by a hash of
-its id, so a draw repeats itself on any cluster.
+calibrated rate. One factor for all cells turns rates into repeats: a document is drawn with the probability min(1, repeats),
+by a hash of its id, so a draw repeats itself on any cluster. The factor is set so that SHARE of all tokens is expected to be
+drawn. A cell with too few tokens for its weight is drawn whole and says by `repeats` over 1 how often to
+read it; so a rare cell doesn't thin out all others, and tokens times repeats / probability fit the targets.
 
 Scale: only DataFrame operations. Documents are scanned for their cell and tokens, summed on
 the map side; what is raked is the cell table, by window sums in one lineage of small exchanges, written
@@ -26,7 +28,9 @@ from weft.llm._shared import materialize, only, salts
 ROUNDS, CELLS, SALTS, DIGITS = 12, 20_000, 16, 10
 DIMS = ("source", "lang", "topic")
 NONE = "\\N"
-SHARE = 1.0
+SHARE = 0.5
+#: Cells of one rate band (a factor of 2 in so many bands) count as one where the factor is sought: a bounded table, at most 5 % of tokens below SHARE.
+BANDS = 16
 
 #: What the registered query and the pipeline rake to. Sources: even shares; languages and topics: as stated, others even.
 LANGS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
@@ -75,23 +79,39 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str
     return out
 
 
+def factor(raked: DataFrame, share: float) -> DataFrame:
+    """One row: factor c, so that the sum of min(n_tokens, c * weight) is share of the tokens of cells with a rate, and n, the number of cells.
+
+    That sum is the lowest of T + c * W over all cuts by rate (T: tokens of the cells above the cut, W: weight of the others), so c is the highest (share - T) / W."""
+    band = F.when(F.col("rate") > 0, F.floor(F.log2("rate") * BANDS))
+    bands = raked.groupBy(band.alias("band")).agg(F.sum("n_tokens").alias("tokens"), F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    all_, high = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy(F.desc_nulls_last("band"))
+    live = F.col("band").isNotNull()
+    above = F.coalesce(F.sum("tokens").over(high.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.when(live, F.col("weight"))).over(high.rowsBetween(0, Window.unboundedFollowing))
+    goal = F.lit(share) * F.sum(F.when(live, F.col("tokens"))).over(all_)
+    return bands.select("n", F.when(live & (rest > 0), (goal - above) / rest).alias("c")).agg(F.max("c").alias("factor"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def calibrate(documents: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...] = (), share: float = SHARE) -> DataFrame:
-    """documents with a struct `mix`: n_tokens, source, lang, topic, rate (weight per token over the highest such), probability and sampled."""
+    """documents with a struct `mix`: n_tokens, source, lang, topic, probability, repeats and sampled."""
     docs = with_cells(documents)
     cells = docs.select("mix.*").groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     raked = materialize(rake(cells, targets, even).withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(F.lit(0.0))))
-    top = raked.agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("top"), F.count("*").alias("n")).first()
-    probability = F.round(F.least(F.lit(1.0), F.lit(share) * F.col("rate") / F.lit(top["top"])), DIGITS) if top["top"] else F.lit(0.0)
-    rates = raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], probability.alias("_c_p"))
+    found = factor(raked, share).first()
+    c = F.lit(found["factor"] or 0.0)
+    repeats = F.round(c * F.col("rate"), DIGITS)
+    rates = raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], repeats.alias("_c_r"))
     same = [F.col(f"mix.{d}") == F.col(f"_c_{d}") for d in DIMS]
-    if top["n"] <= CELLS:
+    if found["n"] <= CELLS:
         joined = docs.join(F.broadcast(rates), same, "left")
     else:
         salt = F.pmod(F.xxhash64(F.col("doc_id"), F.col("mix.n_tokens")), F.lit(SALTS))
         spread = rates.withColumn("_c_salt", salts(SALTS))
         joined = docs.join(spread, [*same, salt == F.col("_c_salt")], "left")
-    p = F.coalesce(F.col("_c_p"), F.lit(0.0))
-    return joined.withColumn("mix", F.struct("mix.*", p.alias("probability"), (draw(F.col("doc_id")) < p).alias("sampled"))).select(*documents.columns, "mix")
+    r = F.coalesce(F.col("_c_r"), F.lit(0.0))
+    p = F.least(F.lit(1.0), r)
+    return joined.withColumn("mix", F.struct("mix.*", p.alias("probability"), r.alias("repeats"), (draw(F.col("doc_id")) < p).alias("sampled"))).select(*documents.columns, "mix")
 
 
 def draw(doc_id: Column) -> Column:
@@ -104,14 +124,14 @@ def targets() -> dict[str, dict[str, float]]:
 
 
 def sample(documents: DataFrame, share: float = SHARE) -> DataFrame:
-    """The drawn rows of documents, with their columns, n_tokens and probability."""
-    return calibrate(documents, targets(), ("source",), share).where("mix.sampled").select(*documents.columns, F.col("mix.n_tokens").alias("n_tokens"), F.col("mix.probability").alias("probability"))
+    """The drawn rows of documents, with their columns, n_tokens, probability and repeats."""
+    return calibrate(documents, targets(), ("source",), share).where("mix.sampled").select(*documents.columns, F.col("mix.n_tokens").alias("n_tokens"), F.col("mix.probability").alias("probability"), F.col("mix.repeats").alias("repeats"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, its cell, n_tokens, the calibrated probability, sampled."""
+    """Per document: doc_id, its cell, n_tokens, the calibrated probability, repeats, sampled."""
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source")
-    return calibrate(docs, targets(), ("source",)).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", "mix.probability", "mix.sampled")
+    return calibrate(docs, targets(), ("source",)).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", "mix.probability", "mix.repeats", "mix.sampled")
 
 
 def _sql() -> str:
@@ -128,8 +148,10 @@ d AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'list' WHEN n_tokens < 100
 c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n_tokens, sum(n_tokens)::DOUBLE AS weight FROM d GROUP BY ALL),
 {", ".join(steps)},
 r AS MATERIALIZED (SELECT *, CASE WHEN n_tokens > 0 THEN weight / n_tokens ELSE 0 END AS rate FROM {last}),
-p AS (SELECT source, lang, topic, round(least(1.0, {SHARE!r} * rate / (SELECT max(rate) FROM r)), {DIGITS}) AS probability FROM r)
-SELECT doc_id, source, lang, topic, d.n_tokens, probability,
+b AS (SELECT floor(log2(rate) * {BANDS}) AS band, sum(n_tokens) AS tokens, sum(weight) AS weight FROM r WHERE rate > 0 GROUP BY ALL),
+f AS (SELECT max(({SHARE!r} * (SELECT sum(tokens) FROM b) - above) / rest) AS c FROM (SELECT coalesce(sum(tokens) OVER (ORDER BY band DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(weight) OVER (ORDER BY band DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM b)),
+p AS (SELECT *, least(1.0, repeats) AS probability FROM (SELECT source, lang, topic, round(coalesce((SELECT c FROM f), 0) * rate, {DIGITS}) AS repeats FROM r) AS q)
+SELECT doc_id, source, lang, topic, d.n_tokens, probability, repeats,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE < probability AS sampled
 FROM d JOIN p USING (source, lang, topic)
 """
