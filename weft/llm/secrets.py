@@ -39,6 +39,7 @@ _SPANS = "array<struct<kind: string, start: long, end: long>>"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
+_PART, _TOKEN = re.compile(r"[A-Za-z0-9_=-]+"), re.compile(r"[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_-]*")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -146,12 +147,13 @@ def _structure(run: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans within one run of base64 and dot characters, or of hex digits."""
     at = run.find("eyJ")
     while at >= 0:
-        end = re.compile(r"[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_-]*").match(run, at)
+        end = _TOKEN.match(run, at)
         if end and is_token(end[0]):
             yield "jwt", at, end.end()
             at = run.find("eyJ", end.end())
         else:
-            at = run.find("eyJ", at + 3)
+            # Without the three parts no place in this first part can begin a token, so a long run is passed once.
+            at = run.find("eyJ", at + 3 if end else _PART.match(run, at).end())
     for part in re.finditer(r"[A-Za-z0-9+/_-]{40,}={0,2}", run):
         text = part[0]
         at = max(text.find("MI"), 0) if not text.startswith(("MI", "b3BlbnNzaC1rZXktdjE")) else 0
