@@ -137,6 +137,8 @@ def test_secrets_confirm_structure(spark, docs):
     assert [k[0] if k else None for k in kinds[:7]] == ["jwt", None, "key", None, "pem" if kinds[4][0] == "pem" else kinds[4][0], "openssh", "hex"]
     assert "pem" in kinds[4] and "key" in kinds[6]
     assert secrets.find_secrets(cases[0])[0] == ("jwt", 2, 2 + len(token))
+    for before in ("eyJ", "eyJx+", "eyJx.", "eyJ.eyJ/", "eyJx.y.z.", "eyJab0" * 100_000 + "/"):
+        assert [s for s in secrets.find_secrets(before + token) if s[0] == "jwt"] == [("jwt", len(before), len(before + token))]
     assert kinds[7] == ["assign"] and kinds[8] == ["access"] and kinds[9] == ["hex"] and kinds[12] == []
     df = spark.createDataFrame([(k, c, "x") for k, c in enumerate(cases)] + [(None, "password=hunter2hunter2", "x")], "doc_id long, text string, spans string")
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(df).collect()}
