@@ -3,8 +3,10 @@
 Three base patterns report what they match: assignments, access key ids and long hex runs. Longer
 base64, base64url and hex runs are only candidates: they are decoded, and reported if what comes out parses
 as a private key (DER with all nested lengths closed, OpenSSH's container with all its
-fields) or as a signed token (a JSON header with an algorithm, a JSON payload, a signature). PEM blocks
-are confirmed by the same parsers.
+fields) or as a signed token (a JSON header with an algorithm, a JSON payload, a signature). A key may begin at any
+place of a run (every place where its first bytes can stand is tried), ends where its own lengths say, and may be
+wrapped over lines. PEM blocks, with plain or escaped line ends, are confirmed by the same parsers, also where
+the whole block is in base64 or hex once more (one such layer).
 
 Scale: one narrow scan, no shuffle; runs are found on byte arrays, and Python looks at candidates alone. Whole texts are
 scanned in slices of bounded bytes (one text at least). Spans are in code points, end exclusive.
@@ -20,7 +22,7 @@ import binascii
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ _SPANS = "array<struct<kind: string, start: long, end: long>>"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
+_ENDS = re.compile(r"\s|\\+(?:[nrt]|u000[ad]|x0[ad]|(?=\s))|%0[ad]|&#(?:10|13|x[ad]);", re.IGNORECASE)
+_NEXT = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*([A-Za-z0-9+/_=.-]+)")
 _PART, _TOKEN = re.compile(r"[A-Za-z0-9_=-]+"), re.compile(r"[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_-]*")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -143,8 +147,8 @@ def is_token(text: str) -> bool:
     return header["alg"].lower() == "none" or len(_decoded(parts[2]) or b"") >= 16
 
 
-def _structure(run: str) -> Iterator[tuple[str, int, int]]:
-    """Confirmed spans within one run of base64 and dot characters, or of hex digits."""
+def _tokens(run: str) -> Iterator[tuple[str, int, int]]:
+    """Confirmed tokens within one run of base64 and dot characters."""
     at = run.find("eyJ")
     while at >= 0:
         end = _TOKEN.match(run, at)
@@ -154,16 +158,124 @@ def _structure(run: str) -> Iterator[tuple[str, int, int]]:
         else:
             # Without the three parts no place in this first part can begin a token, so a long run is passed once.
             at = run.find("eyJ", at + 3 if end else _PART.match(run, at).end())
+
+
+def _reader(text: str, start: int, hexed: bool) -> Callable[[int, int], bytes]:
+    """get(at, n): n bytes (fewer at the end) from byte `at` of what text decodes to from `start` on; only their own characters are decoded."""
+
+    def get(at: int, n: int) -> bytes:
+        if hexed:
+            own = text[start + 2 * at : start + 2 * (at + n)]
+            return bytes.fromhex(own[: len(own) & ~1])
+        low = at // 3
+        own = text[start + 4 * low : start + -(-(at + n) // 3) * 4]
+        return (_decoded(own[:-1] if len(own) % 4 == 1 else own) or b"")[at - 3 * low : at - 3 * low + n]
+
+    return get
+
+
+def _element(get: Callable[[int, int], bytes], at: int) -> tuple[int, int, int] | None:
+    """Tag, first content byte and end of the DER element at a byte."""
+    head = get(at, 6)
+    if len(head) < 2:
+        return None
+    size, n = head[1], 0
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n:
+            return None
+        size = int.from_bytes(head[2 : 2 + n], "big")
+    return head[0], at + 2 + n, at + 2 + n + size
+
+
+def _key_size(get: Callable[[int, int], bytes], most: int) -> int | None:
+    """Bytes of the DER key that can begin at byte 0, of at most `most`, by the lengths of its elements; is_der_key confirms it."""
+    top = _element(get, 0)
+    if not top or top[0] != 0x30 or top[2] > most:
+        return None
+    at, many = top[1], 0
+    while at < top[2] and many < 10:
+        one = _element(get, at)
+        if not one or one[2] > top[2] or (not many and one[0] not in (0x02, 0x30)) or (not many and one[0] == 0x02 and get(at, 3) not in (b"\2\1\0", b"\2\1\1")):
+            return None
+        at, many = one[2], many + 1
+    return at if at == top[2] and many else None
+
+
+def _openssh_size(get: Callable[[int, int], bytes], most: int) -> int | None:
+    """Bytes of the OpenSSH container that begins at byte 0; is_openssh_key confirms it."""
+    at, left = 15, 3
+    for count in (True, False):
+        while left:
+            size = get(at, 4)
+            at += 4 + int.from_bytes(size, "big")
+            if len(size) < 4 or at > most:
+                return None
+            left -= 1
+        if count:
+            left, at = int.from_bytes(get(at, 4), "big") + 1, at + 4
+    return at
+
+
+def _layers(marker: bytes) -> list[tuple[str, int]]:
+    """What marker looks like in base64 at each of three offsets, and how many characters before it its group begins."""
+    out = []
+    for shift in range(3):
+        lead = -(-shift * 8 // 6)
+        out.append((base64.b64encode(b"\0" * shift + marker)[lead : (shift + len(marker)) * 8 // 6].decode(), lead))
+    return out
+
+
+_BEGIN = b"-----BEGIN "
+_IN_BASE64, _IN_HEX = _layers(_BEGIN), re.compile(_BEGIN.hex(), re.IGNORECASE)
+_STARTS = re.compile("M(?=[A-P])|b3BlbnNzaC1rZXktdjEA")
+_HEX_STARTS = re.compile("3(?=0(?:8[1-4]|[0-7]))|(?:6f70656e7373682d6b65792d763100)", re.IGNORECASE)
+
+
+def _keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """Confirmed private keys within one run, in base64 or hex, bare or as PEM text; each begins at any place and ends by its own lengths."""
     for part in re.finditer(r"[A-Za-z0-9+/_-]{40,}={0,2}", run):
-        text = part[0]
-        at = max(text.find("MI"), 0) if not text.startswith(("MI", "b3BlbnNzaC1rZXktdjE")) else 0
-        data = _decoded(text[at:])
-        if data and is_openssh_key(data):
-            yield "openssh", part.start() + at, part.end()
-        elif data and is_der_key(data):
-            yield "key", part.start() + at, part.end()
-        elif re.fullmatch(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}", text) and (is_der_key(raw := bytes.fromhex(text)) or is_openssh_key(raw)):
-            yield "key", part.start(), part.end()
+        text = part[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for hexed, low, high in [(False, 0, len(text))] + [(True, *m.span()) for m in re.finditer("[0-9A-Fa-f]{40,}", text)]:
+            own, done = text[low:high], 0
+            # PEM text: what was decoded once from one offset shows all blocks behind it.
+            marks = [(m.start(), 0) for m in _IN_HEX.finditer(own)] if hexed else [(m.start() - lead, lead) for mark, lead in _IN_BASE64 for m in re.finditer(re.escape(mark), own)]
+            group, found = 2 if hexed else 4, []
+            for at in {at % group: at for at, _ in sorted(marks, reverse=True) if at >= 0}.values():
+                for a, b in _pems(_reader(own, at, hexed)(0, len(own)).decode("latin-1")):
+                    found.append(("pem", at + (2 * a if hexed else a * 8 // 6), at + (2 * b if hexed else -(-b * 8 // 6))))
+            for m in (_HEX_STARTS if hexed else _STARTS).finditer(own):
+                at = m.start()
+                if at < done:
+                    continue
+                get = _reader(own, at, hexed)
+                most = (len(own) - at) // 2 if hexed else (len(own) - at) * 6 // 8
+                ssh = m[0][0] not in "M3"
+                size = (_openssh_size if ssh else _key_size)(get, most)
+                if size and (is_openssh_key if ssh else is_der_key)(get(0, size)):
+                    done = at + (2 * size if hexed else -(-size * 8 // 6))
+                    found.append(("openssh" if ssh and not hexed else "key", at, done))
+            for kind, a, b in found:
+                # The padding belongs to a span that reaches it.
+                yield kind, part.start() + low + a, part.end() if low + b == len(text) else part.start() + low + b
+
+
+def _pems(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed PEM blocks, their line ends plain or escaped."""
+    for m in _PEM.finditer(text):
+        data = _decoded(_ENDS.sub("", m[2]).replace("\\/", "/"))
+        if data and (is_der_key(data) or is_openssh_key(data)):
+            yield m.span()
+
+
+def _joined(text: str, a: int, b: int) -> tuple[str, list[int] | None, int]:
+    """A run with those that follow it line by line, the place of each of its characters (None: from a on), and its end."""
+    lines = [(a, b)]
+    while m := _NEXT.match(text, lines[-1][1]):
+        lines.append(m.span(1))
+    if len(lines) == 1:
+        return text[a:b], None, b
+    return "".join(text[x:y] for x, y in lines), [k for x, y in lines for k in range(x, y)], lines[-1][1]
 
 
 def find_secrets(text: str, hexes: list[tuple[int, int]] | None = None, runs: list[tuple[int, int]] | None = None) -> list[tuple[str, int, int]]:
@@ -173,12 +285,15 @@ def find_secrets(text: str, hexes: list[tuple[int, int]] | None = None, runs: li
     hexes = [m.span() for m in re.finditer("[0-9a-f]{32,}", text)] if hexes is None else hexes
     runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=.-]{%d,}" % _LONG, text)] if runs is None else runs
     found += [("hex", a, b) for a, b in hexes]
+    pems = list(_pems(text))
+    found += [("pem", a, b) for a, b in pems]
+    done = 0
     for a, b in runs:
-        found += [(kind, a + x, a + y) for kind, x, y in _structure(text[a:b])]
-    for m in _PEM.finditer(text):
-        data = _decoded(re.sub(r"\s+", "", m[2]))
-        if data and (is_der_key(data) or is_openssh_key(data)):
-            found.append(("pem", *m.span()))
+        found += [(kind, a + x, a + y) for kind, x, y in _tokens(text[a:b])]
+        if a < done:
+            continue
+        own, places, done = (text[a:b], None, b) if any(x <= a < y for x, y in pems) else _joined(text, a, b)
+        found += [(kind, a + x, a + y) if places is None else (kind, places[x], places[y - 1] + 1) for kind, x, y in _keys(own)]
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
