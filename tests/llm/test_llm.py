@@ -314,6 +314,32 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_tell_neighbours_apart(spark):
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    two = bsd + " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    three = two + " 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    want = {
+        two: "BSD-2-Clause", three: "BSD-3-Clause", bsd: "BSD",
+        gnu.format("program", "", 3): "GPL-3.0", gnu.format("program", "", 2): "GPL-2.0", gnu.format("program", "Affero ", 3): "AGPL-3.0", gnu.format("library", "Lesser ", 3): "LGPL-3.0", gnu.format("library", "Lesser ", 2.1): "LGPL-2.1",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Licensed under the MIT License": "MIT", "available under the MIT license": "MIT", "under MIT License": "MIT", "SPDX-License-Identifier: MIT": "MIT", "Distributed under the Apache License, Version 2.0": "Apache-2.0", "Licensed under GPLv3": "GPL-3.0",
+        "Licensed under CC BY 3.0.": "", "released under the MIT umbrella": "", "the MIT License is short": "", "Licensed under the Apache License, Version 1.1": "", isc + ".": "", isc + ", provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    }
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "CC-BY-SA-4.0"):
+        with open(f"{licenses.__file__.rsplit('/', 1)[0]}/license_texts/{name}.txt") as f:
+            text = f.read().split()
+        want[" ".join(text)] = name
+        want[" ".join(w for k, w in enumerate(text) if k % 17 or 50 < k < len(text) // 2)] = None  # still found, or its telling words are gone
+    cases = list(want)
+    df = spark.createDataFrame([(k, words(300, k) + " " + t + " " + words(40, k)) for k, t in enumerate(cases)], "doc_id long, text string")
+    got = {cases[r["doc_id"]]: ",".join(f["license"] for f in r["found"]) for r in licenses.scan(df).collect()}
+    assert {t[:99]: got[t] for t in cases if want[t] is not None} == {t[:99]: x for t, x in want.items() if x is not None}
+    assert all(got[t] in ("", name) for t, name in zip(cases[1:], [want[x] for x in cases], strict=False) if want[t] is None)
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     r = random.Random(9)
     rows = [(k, words(r.randrange(15, 200), k), "en", f"s{k % 3}") for k in range(60)]

@@ -3,12 +3,16 @@
 Text and template are words; anchors are the words that occur once in both; the longest increasing
 subsequence of their places is kept, and the gaps between anchors (and before and after them, as
 far as the template reaches) are aligned in the same way. Coverage is the share of the template's words that
-are aligned; a place with COVER or more is a finding (a notice of SHORT words or fewer must
-stand whole). Of findings that overlap the one with more aligned words stays, then the one with more coverage.
+are aligned; a place with COVER or more is a finding if the words that tell the license from its neighbours (name, version,
+variant, clause; in brackets in the templates) stand there whole and side by side. So a notice may miss words that tell nothing.
+Of findings that overlap the one with more aligned words stays, then the one with more coverage.
 
-Scale: one narrow scan, no shuffle. Word fingerprints of whole texts are compared with the templates' words in array
-operations; only places where they stand densely are aligned, so time follows the text. Templates are
-fixed values of a few KB. Word fingerprints only propose; words are aligned as text.
+Templates are wordings of notices, operative paragraphs, and whole texts (`license_texts/`). Of CC's legal codes only BY-SA is held;
+the others are found by the sentences that name them. A BSD text that breaks off before its second clause is `BSD`.
+
+Scale: one narrow scan, no shuffle. Word fingerprints of whole texts are compared with all telling words at once;
+a template is aligned only in texts that hold its telling words, around the rarest of them, so time follows the text. Templates are
+fixed values of about 150 KB. Word fingerprints only propose; words are aligned as text.
 
 Nulls and repeats: a null or empty text has no findings; a null doc_id is carried; each row has one
 row in the result, repeated or not; a license that stands twice has two spans. Extra columns are ignored.
@@ -16,10 +20,12 @@ row in the result, repeated or not; a license that stands twice has two spans. E
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pkgutil import get_data
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +34,94 @@ from pyspark.sql import functions as F
 
 from weft.llm._shared import ALNUM, LOWER, chunks, only, small_batches, text_buffer, word_hashes, word_spans
 
-COVER, SHORT = 0.8, 12
+COVER = 0.8
+
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = _BSD.replace("Redistributions of source code", "[Redistributions of source code]") + " [Redistributions in binary form] must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " Neither the name of the copyright holder [nor the names of] its contributors may be used to [endorse or promote products] derived from this software without specific prior written permission."
+_BSD_4 = " [All advertising materials mentioning features] or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this [permission notice shall be included] in all copies or substantial portions of the Software."""
+_MIT_END = """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = "Permission to use, copy, modify, and/or distribute this software [for any purpose with or without fee] is hereby granted"
+_ISC_MORE = ", [provided that the above copyright notice] and this permission notice appear in all copies."
+_ISC_END = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def _gnu(kind: str, short: str, n: str) -> list[str]:
+    """Wordings of the GNU licenses: with the kind ("Lesser ") and the version."""
+    full, thing = f"GNU {kind}General Public License", "library" if short == "LGPL" else "program"
+    names = [f"{full}, version {n}", f"{full} v{n}", f"GNU {short} version {n}", f"GNU {short} v{n}", f"GNU {short}v{n}", f"{short} version {n}", f"{short} v{n}", f"{short}v{n}", f"{short} {n}"]
+    more = [f"version {n} of the {full}", f"version {n} of the GNU {short}"]
+    terms = f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the"
+    return [
+        f"This work is licensed [under] the [{full}, version {n}].",
+        f"{terms} [{full}] as published by the Free Software Foundation, either [version {n}] of the License, or (at your option) any later version.",
+        f"{terms} [{full} version {n}] as published by the Free Software Foundation.",
+        f"{terms} [{full}] as published by the Free Software Foundation; [version {n}] of the License.",
+        *_notices(*names, *more),
+    ]
+
 
-#: Usual notices and the operative paragraphs of public licenses.
+def _notices(*names: str) -> list[str]:
+    ways = ("Licensed [under] [{}]", "Licensed [under] the [{}]", "Released [under] the [{}]", "Distributed [under] the terms of the [{}]", "[under] [{}]", "[License: {}]", "[SPDX-License-Identifier: {}]")
+    return [w.format(n) for n in names for w in ways]
+
+
+def _cc(code: str, name: str) -> list[str]:
+    short, full = f"CC {code} 4.0", f"Creative Commons Attribution{name} 4.0"
+    return [f"Licensed [under] [{short}].", f"This work is licensed [under] a [{full} International] License.", f"terms and conditions of this [{full} International] Public License", *_notices(short, f"{full} International License", f"{full} License")]
+
+
+#: Usual notices and the operative paragraphs of public licenses. In brackets what tells a license from its neighbours.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""],
-    "MIT": ["Released under the MIT License.", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "Apache-2.0": ["Licensed [under] the [Apache License, Version 2.0].", """Licensed under the [Apache License, Version 2.0] (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""", *_notices("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0")],
+    "MIT": ["Released [under] the [MIT License].", _MIT, _MIT + _MIT_END, *_notices("MIT License"), "[SPDX-License-Identifier: MIT]", "[License: MIT]"],
+    "GPL-3.0": _gnu("", "GPL", "3"),
+    "GPL-2.0": _gnu("", "GPL", "2"),
+    "AGPL-3.0": _gnu("Affero ", "AGPL", "3"),
+    "LGPL-3.0": _gnu("Lesser ", "LGPL", "3"),
+    "LGPL-2.1": _gnu("Lesser ", "LGPL", "2.1"),
+    "LGPL-2.0": _gnu("Library ", "LGPL", "2"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "-NonCommercial"),
+    "CC-BY-4.0": _cc("BY", ""),
+    "CC-BY-SA-4.0": _cc("BY-SA", "-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "-NonCommercial-NoDerivatives"),
+    "ISC": [_ISC + _ISC_MORE, _ISC + _ISC_MORE + _ISC_END, *_notices("ISC License"), "[SPDX-License-Identifier: ISC]"],
+    "0BSD": [_ISC + "." + _ISC_END, "[SPDX-License-Identifier: 0BSD]"],
+    "BSD-2-Clause": [_BSD_2, _BSD_2 + _BSD_END, *_notices("BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License")],
+    "BSD-3-Clause": [_BSD_2 + _BSD_3, _BSD_2 + _BSD_3 + _BSD_END, *_notices("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License")],
+    "BSD-4-Clause": [_BSD_2 + _BSD_4 + _BSD_3, _BSD_2 + _BSD_4 + _BSD_3 + _BSD_END, *_notices("BSD 4-Clause License", "4-Clause BSD License", "BSD-4-Clause")],
+    "BSD": [_BSD.replace("Redistributions of source code", "[Redistributions of source code]")],
+}
+
+#: Whole texts and the words in them that tell.
+WHOLE = {
+    "Apache-2.0": ["Grant of Copyright License", "Grant of Patent License"],
+    "GPL-2.0": ["Activities other than copying, distribution and modification"],
+    "GPL-3.0": ["Use with the GNU Affero General Public License"],
+    "LGPL-2.0": ["GNU Library General Public License", "work that uses the Library"],
+    "LGPL-2.1": ["GNU Lesser General Public License", "work that uses the Library"],
+    "LGPL-3.0": ["Exception to Section 3 of the GNU GPL"],
+    "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International Public License"],
 }
 
 
+def _whole() -> Iterator[tuple[str, str]]:
+    for name, tells in WHOLE.items():
+        text = re.sub(r"[\[\]]", " ", get_data(__package__, f"license_texts/{name}.txt").decode())
+        told = text
+        for tell in tells:
+            told = re.sub(r"[^A-Za-z0-9]+".join(re.findall("[A-Za-z0-9]+", tell)), lambda m: f"[{m[0]}]", told, count=1, flags=re.IGNORECASE)
+        yield name, told
+        if name == "GPL-3.0":
+            # The AGPL is this text with its own name and section 13.
+            own = re.sub(r"GNU\s+General\s+Public", "GNU Affero General Public", text, flags=re.IGNORECASE)
+            yield "AGPL-3.0", re.sub(r"Use with the GNU Affero General Public License", "[Remote Network Interaction]; Use with the GNU General Public License", own, count=1)
+
+
 def words(text: str) -> list[str]:
     raw, offs = text_buffer(pa.array([text]))
     raw = LOWER[raw]
@@ -50,9 +130,23 @@ def words(text: str) -> list[str]:
     return [data[a:b].decode() for a, b in zip(starts, ends, strict=True)]
 
 
+class Template:
+    """A license's words; tells: (place, words) of what must stand whole."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words, self.tells = name, [], []
+        for k, part in enumerate(re.split(r"[\[\]]", text)):
+            own = words(part)
+            if k % 2:
+                self.tells.append((len(self.words), own))
+            self.words += own
+        self.need = needed(len(self.words))
+
+
 @cache
-def _templates() -> list[tuple[str, list[str]]]:
-    return [(name, words(t)) for name, own in TEMPLATES.items() for t in own]
+def _templates() -> list[Template]:
+    found = [(name, t) for name, own in TEMPLATES.items() for t in own] + list(_whole())
+    return [Template(*f) for f in dict.fromkeys(found)]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,28 +198,43 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 def needed(m: int) -> int:
     """Aligned words that a template of m words needs."""
-    return m if m <= SHORT else -int(-m * COVER // 1)
-
-
-def find(text: list[str], near: list[list[int]]) -> list[tuple[str, int, int, float]]:
-    """(license, first word, last word + 1, coverage) in a text of which near[k] are the places of the k-th template's words."""
+    return -int(-m * COVER // 1)
+
+
+def _place(text: list[str], template: Template, tell: int, p: int, low: int) -> list[tuple[int, int]] | None:
+    """The alignment of a template whose tell stands at p, if it is a finding."""
+    g, own = template.tells[tell]
+    m, k = len(template.words), len(own)
+    # As many words may stand between as on either side belong there.
+    start, end = max(low, p - 2 * g), min(len(text), p + k + 2 * (m - g - k))
+    pairs = [(start + i, j) for i, j in align(text[start:p], template.words[:g])]
+    pairs += [(p + i, g + i) for i in range(k)]
+    pairs += [(p + k + i, g + k + j) for i, j in align(text[p + k : end], template.words[g + k :])]
+    if len(pairs) < template.need:
+        return None
+    at = {j: i for i, j in pairs}
+    whole = all(t in at and at.get(t + x) == at[t] + x for t, w in template.tells for x in range(len(w)))
+    return pairs if whole else None
+
+
+def find(text: list[str], among: list[int] | None = None) -> list[tuple[str, int, int, float]]:
+    """(license, first word, last word + 1, coverage) in a text; among: the templates that can stand there."""
     found = []
-    for (name, template), places in zip(_templates(), near, strict=True):
-        m, at, low = len(template), 0, 0
-        need = needed(m)
-        while at + need <= len(places):
-            # So many template words must stand within twice the template's length.
-            if places[at + need - 1] - places[at] >= 2 * m:
-                at += 1
-                continue
-            start, end = max(low, places[at] - m), min(len(text), places[at] + 3 * m)
-            pairs = align(text[start:end], template)
-            if len(pairs) >= need:
-                low = start + pairs[-1][0] + 1
-                found.append((len(pairs), len(pairs) / m, name, start + pairs[0][0], low))
-                at = bisect_left(places, low)
-            else:
-                at += 1
+    where: dict[str, list[int]] = {}
+    for k, w in enumerate(text):
+        where.setdefault(w, []).append(k)
+    for template in _templates() if among is None else [_templates()[k] for k in among]:
+        stands = []
+        for _, own in template.tells:
+            # By the rarest word of each tell.
+            rare = min(range(len(own)), key=lambda x: len(where.get(own[x], ())))
+            stands.append([k - rare for k in where.get(own[rare], ()) if k >= rare and text[k - rare : k - rare + len(own)] == own])
+        tell, low = min(range(len(stands)), key=lambda x: len(stands[x])), 0
+        for p in stands[tell] if all(stands) else ():
+            pairs = _place(text, template, tell, p, low) if p >= low else None
+            if pairs:
+                low = pairs[-1][0] + 1
+                found.append((len(pairs), len(pairs) / len(template.words), template.name, pairs[0][0], low))
     out: list[tuple[str, int, int, float]] = []
     for _, share, name, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[3], f[2])):
         if all(last <= x or y <= first for _, x, y, _ in out):
@@ -134,13 +243,15 @@ def find(text: list[str], near: list[list[int]]) -> list[tuple[str, int, int, fl
 
 
 @cache
-def _vocabularies() -> list[np.ndarray]:
-    found = []
-    for _, template in _templates():
-        raw, offs = text_buffer(pa.array([" ".join(template)]))
-        starts, ends, _ = word_spans(raw, offs, ALNUM)
-        found.append(np.unique(word_hashes(raw, starts, ends)))
-    return found
+def _telling() -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all telling words, sorted, and for each template which of them it needs."""
+    own = [sorted({w for _, tell in t.tells for w in tell}) for t in _templates()]
+    raw, offs = text_buffer(pa.array([" ".join(w for ws in own for w in ws)]))
+    starts, ends, _ = word_spans(raw, offs, ALNUM)
+    known, at = np.unique(word_hashes(raw, starts, ends), return_inverse=True)
+    need = np.zeros((len(own), len(known)), bool)
+    need[np.repeat(np.arange(len(own)), [len(ws) for ws in own]), at] = True
+    return known, need
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())]))
@@ -153,18 +264,17 @@ def _found(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     hashes, n = word_hashes(raw, starts, ends), batch.num_rows
     counts = np.bincount(rows, minlength=n)
     base = np.concatenate([[0], np.cumsum(counts)])
-    marks = [np.flatnonzero(np.isin(hashes, v)) for v in _vocabularies()]
-    look: set[int] = set()
-    for (_, template), own in zip(_templates(), marks, strict=True):
-        need = needed(len(template))
-        if len(own) >= need:
-            close = (own[need - 1 :] - own[: len(own) - need + 1] < 2 * len(template)) & (rows[own[need - 1 :]] == rows[own[: len(own) - need + 1]])
-            look |= set(rows[own[: len(close)][close]].tolist())
+    known, need = _telling()
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    own = np.flatnonzero(known[at] == hashes)
+    has = np.zeros((n, len(known)), bool)
+    has[rows[own], at[own]] = True
+    # A template can stand where none of its telling words is missing.
+    can = (~has).astype(np.float32) @ need.T.astype(np.float32) == 0
     data, out = raw.tobytes(), [[] for _ in range(n)]
-    for i in sorted(look):
+    for i in np.flatnonzero(can.any(axis=1)):
         text = [data[a:b].decode() for a, b in zip(starts[base[i] : base[i + 1]], ends[base[i] : base[i + 1]], strict=True)]
-        near = [(own[np.searchsorted(own, base[i]) : np.searchsorted(own, base[i + 1])] - base[i]).tolist() for own in marks]
-        out[i] = [dict(zip(("license", "first", "last", "coverage"), f, strict=True)) for f in find(text, near)]
+        out[i] = [dict(zip(("license", "first", "last", "coverage"), f, strict=True)) for f in find(text, np.flatnonzero(can[i]).tolist())]
     return counts.astype(np.int64), pa.array(out, _FOUND)
 
 
