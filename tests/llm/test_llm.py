@@ -7,6 +7,7 @@ import json
 import random
 import re
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,6 +290,50 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxicity.score(df, labels.limit(0)).where("score <> 0").count() == 0 and toxicity.score(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_keeps_the_ratio_and_all_windows(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    y = (r.random(40_000) < 0.05).astype(float)
+    x = r.normal(2 * y, 1)
+    some = (y == 1) | (r.random(len(y)) < 0.1)
+    many = np.where(y == 1, 1.0, (y == 0).sum() / (some & (y == 0)).sum())
+    whole, part = toxicity.line(x, y), toxicity.line(x[some], y[some], many[some])
+    assert abs(whole[0] - part[0]) < 0.2 and abs(whole[1] - part[1]) < 0.3
+
+    # Every word of a document is in its windows, each window of SPAN words at most, and each row counts.
+    sizes = [1, 5, 6, 7, 12, 13, 18, 19, 5000]
+    doc, low, high = toxicity.windows(np.array(sizes))
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    for k, n in enumerate(sizes):
+        own = [(a - base[k], b - base[k]) for d, a, b in zip(doc, low, high, strict=True) if d == k]
+        assert own == [(p, min(p + 12, n)) for p in range(0, max(n - 6, 1), 6)]
+        assert {i for a, b in own for i in range(a, b)} == set(range(n))
+    texts = ["ab c, def", "", None, "x " * 3000 + "ém"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 1, 0, 0], pa.int32()), pa.array(texts)], names=["doc_id", "toxic", "text"])
+    got = {d["doc_id"]: [len(d["sizes"]) // 4, np.frombuffer(d["sizes"], np.int32).sum(), len(d["ids"]) // 4] for out in toxicity._streams(iter([batch])) for d in out.to_pylist()}
+    plain = lambda w: sum(max(0, len(f" {w} ".encode()) - n + 1) for n in (3, 4, 5))
+    assert got == {1: [3, *[sum(map(plain, ("ab", "c", "def")))] * 2], 4: [3001, *[3000 * plain("x") + plain("ém")] * 2]}
+
+    # By the sample alone toxic rows would be every second one; the probabilities keep the labels' ratio of 1 in 6.
+    rows, marks = [], []
+    for k in range(900):
+        noisy = random.Random(k)
+        toxic = k % 6 == 0
+        rows.append((k, words(30, k, 200) + (" moron" if noisy.random() < (0.6 if toxic else 0.2) else "")))
+        marks.append((k, int(toxic)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "CLEAN", 120)
+    seen = []
+    fitted = toxicity.line
+    monkeypatch.setattr(toxicity, "line", lambda x, y, many=1.0: seen.append((y, many)) or fitted(x, y, many))
+    toxicity.fit(df, labels)
+    y, many = seen[0]
+    learnt = [m for k, m in marks if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert (y == 0).sum() == 120 and abs((many * np.ones(len(y)))[y == 0].sum() - learnt.count(0)) < 1e-6 and abs((many * np.ones(len(y)))[y == 1].sum() - learnt.count(1)) < 1e-6
+
+
 def longest(pairs):
     best = [1] * len(pairs)
     for i in range(len(pairs)):

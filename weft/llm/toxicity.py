@@ -3,10 +3,11 @@
 A window of SPAN words is the average of the vectors of its character n-grams (3 to 5 bytes, word ends marked,
 hashed to BUCKETS rows), which a linear softmax reads; vectors and softmax are trained jointly, in numpy. A misspelled
 insult shares most n-grams with its other forms. A document's score is its highest window, taken to a
-probability of the document by a line on the logit, fitted to the training documents. In a toxic document only the highest window counts as toxic after the first round.
+probability of the document by a line on the logit, fitted to the training documents, each class weighted by its labels over
+its sampled ones, so that the probability stands for the labels' own ratio whatever the sample. In a toxic document only the highest window counts as toxic after the first round.
 
-Scale: the fit uses a bounded sample of labelled rows (TOXIC and CLEAN documents at most, those with the smallest hash of their id; of each at most
-WINDOWS[class] windows), so what the driver gets doesn't grow. Once trained, an n-gram's vector times the softmax is one number: executors
+Scale: the fit uses a bounded sample of labelled rows (TOXIC and CLEAN documents at most, those with the smallest hash of their id; of each all windows, which lie in
+one stream of the n-grams of its words), so what the driver gets doesn't grow with the table. Once trained, an n-gram's vector times the softmax is one number: executors
 get BUCKETS floats, and scoring is one narrow scan in array operations over whole texts, every window of each.
 
 Nulls and repeats: null and empty texts get the model's score for no evidence; a null doc_id is carried (not held out, never learnt from). Repeated rows are
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, materialize, only, small_batches, text_buffer
+from weft.llm._shared import ALNUM, LOWER, chunks, give_back, materialize, only, small_batches, text_buffer
 
 BUCKETS, DIM, SPAN, GRAMS = 1 << 18, 8, 12, (3, 4, 5)
-TOXIC, CLEAN, WINDOWS = 1500, 3000, {1: 200, 0: 16}
+TOXIC, CLEAN = 1500, 3000
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.25, 7
+PART = 1 << 16
 THRESHOLD = 0.3
 
 
@@ -93,52 +95,66 @@ def window_logits(raw: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled documents some windows (all, up to the class's bound; beyond it evenly spread), as the buckets of their n-grams."""
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of labelled documents the buckets of all n-grams, word by word, and how many each word has."""
     for batch in chunks(batches, "text"):
         text, at = _spaced(*text_buffer(batch.column("text")))
         starts, ends, rows = _words(text, at)
         first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         grams = list(_grams(text))
+        places = np.concatenate([np.flatnonzero(f) for _, f in grams] or [np.zeros(0, np.int64)])
+        order = np.argsort(places, kind="stable")
+        ids, places = np.concatenate([b[f] for b, f in grams] or [np.zeros(0, np.uint32)])[order].astype(np.int32), places[order]
+        # n-grams of a word start from the byte before it to its last but one
+        low, high = np.searchsorted(places, starts - 1), np.searchsorted(places, ends - 1)
         out = []
         for i, (doc, toxic) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
-            places = np.arange(first[i], max(first[i + 1] - SPAN // 2, first[i] + (first[i + 1] > first[i])), SPAN // 2)
-            if len(places) > WINDOWS[toxic]:
-                places = places[np.linspace(0, len(places) - 1, WINDOWS[toxic]).astype(np.int64)]
-            for p in places:
-                low, high = starts[p] - 1, ends[min(p + SPAN, first[i + 1]) - 1] - 1
-                ids = np.concatenate([b[low:high][f[low:high]] for b, f in grams] or [np.zeros(0, np.uint32)])
-                if len(ids):
-                    out.append((doc, toxic, ids.astype(np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "toxic", "ids"])
-
-
-def train(bags: list[np.ndarray], docs: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and a bias, from windows with their documents and classes."""
+            a, b = first[i], first[i + 1]
+            if a < b:
+                out.append((doc, toxic, ids[low[a] : high[b - 1]].tobytes(), (high[a:b] - low[a:b]).astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "toxic", "ids", "sizes"])
+
+
+def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and last word + 1 of all windows of documents of so many words that follow each other; a window begins every SPAN / 2 words."""
+    step, many = SPAN // 2, np.maximum(-(-(n_words - SPAN // 2) // (SPAN // 2)), 1)
+    doc = np.repeat(np.arange(len(n_words)), many)
+    base = np.concatenate([[0], np.cumsum(n_words)])
+    low = base[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+    return doc, low, np.minimum(low + SPAN, base[doc + 1])
+
+
+def train(flat: np.ndarray, cut: np.ndarray, n_words: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and a bias, from the n-grams of all documents, where those of each word begin, and the documents' words and classes."""
     rng = np.random.default_rng(SEED)
     vectors, linear, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_v, g_l, g_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    size = np.array([len(b) for b in bags])
-    flat, cut = np.concatenate(bags), np.concatenate([[0], np.cumsum(size)])
+    docs, first, last = windows(n_words)
+    toxic, size = marks[docs], cut[last] - cut[first]
 
     def logit() -> np.ndarray:
         w = vectors @ (linear[:, 1] - linear[:, 0])
-        return np.add.reduceat(w[flat], cut[:-1]) / size + (bias[1] - bias[0])
-
-    live = np.ones(len(bags), bool)
+        sums = np.zeros(len(cut))
+        for k in range(0, len(cut) - 1, PART):  # so that no second array of all n-grams is held
+            own = cut[k : k + PART + 1]
+            sums[k + 1 : k + len(own)] = np.add.reduceat(w[flat[own[0] : own[-1]]], own[:-1] - own[0])
+        np.cumsum(sums, out=sums)
+        return (sums[last] - sums[first]) / size + (bias[1] - bias[0])
+
+    live = np.ones(len(docs), bool)
     for epoch in range(EPOCHS):
         if epoch:
             score = logit()
             order = np.lexsort((-score, docs))
             top = np.ones(len(order), bool)
             top[1:] = docs[order][1:] != docs[order][:-1]
-            best = np.zeros(len(bags), bool)
+            best = np.zeros(len(docs), bool)
             best[order[top]] = True
             live = best | (toxic == 0) | (score > 2.0)
         pick = np.flatnonzero(live)
         share = (toxic[pick] == 1).sum() / max(1, (toxic[pick] == 0).sum())
         for part in np.array_split(rng.permutation(pick), max(1, len(pick) // BATCH)):
-            ids = np.concatenate([flat[cut[k] : cut[k + 1]] for k in part])
+            ids = np.concatenate([flat[cut[first[k]] : cut[last[k]]] for k in part])
             n = size[part]
             own = np.repeat(np.arange(len(part)), n)
             mean = np.add.reduceat(vectors[ids], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
@@ -159,13 +175,13 @@ def train(bags: list[np.ndarray], docs: np.ndarray, toxic: np.ndarray) -> tuple[
     return (vectors @ (linear[:, 1] - linear[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression of y on x, slightly held back."""
+def line(x: np.ndarray, y: np.ndarray, many: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of y on x, slightly held back; each row stands for so many."""
     a, b = 0.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum()])
+        w = many * (p * (1 - p) + 1e-6)
+        g = np.array([(many * (p - y) * x).sum() + 0.01 * a, (many * (p - y)).sum()])
         h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum()]])
         da, db = np.linalg.solve(h, g)
         a, b = a - float(np.clip(da, -2, 2)), b - float(np.clip(db, -2, 2))
@@ -190,18 +206,26 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, flo
     first = lambda k, n: marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = materialize(first(1, TOXIC).union(first(0, CLEAN)))
     rows = materialize(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = rows.mapInArrow(_windows, "doc_id long, toxic int, ids binary").toArrow()
-    toxic, docs = got.column("toxic").to_numpy(), got.column("doc_id").to_numpy()
+    got = rows.mapInArrow(_streams, "doc_id long, toxic int, ids binary, sizes binary").toArrow()
+    toxic, docs = np.array(got.column("toxic")), np.array(got.column("doc_id"))
     if len(set(toxic.tolist())) < 2:
         return None
     order = np.argsort(docs, kind="stable")
-    bags = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("ids").combine_chunks()]
-    weights, bias = train([bags[k] for k in order], docs[order], toxic[order])
+    streams, sizes = ([np.frombuffer(x.as_buffer(), np.int32) for c in got.column(name).chunks for x in c] for name in ("ids", "sizes"))
+    flat, cut = np.concatenate([streams[k] for k in order]), np.concatenate([[0], *[sizes[k] for k in order]]).cumsum(dtype=np.int64)
+    n_words = np.array([len(sizes[k]) for k in order])
+    del got, streams, sizes
+    give_back()
+    weights, bias = train(flat, cut, n_words, toxic[order])
+    del flat, cut
     shared = spark.sparkContext.broadcast((weights, bias, 1.0, 0.0))
     seen = rows.mapInArrow(_scored(shared, "toxic"), "toxic int, score double").toArrow()
     x, y = seen.column("score").to_numpy(), seen.column("toxic").to_numpy()
     order = np.lexsort((y, x))
-    return (weights, bias, *line(x[order], y[order].astype(float)))
+    # A class stands for all of its labels, of which some were drawn.
+    all_, drawn = (dict(t.groupBy("toxic").count().collect()) for t in (marks, chosen))
+    many = np.array([all_[k] / drawn[k] for k in (0, 1)])
+    return (weights, bias, *line(x[order], y[order].astype(float), many[y[order]]))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
