@@ -64,6 +64,17 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert near_dedup.one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_keeps_one_row_of_each_component(spark):
+    a, b, c = words(60, 11), words(60, 12), words(60, 13)
+    rows = [(1, a, "x"), (1, a, "y"), (2, a + " tail", "x"), (1, a + " more", "z"), (None, b, "x"), (None, b, "x"), (None, b + " tail", "x"), (3, c, "x"), (None, c, "x"), (None, words(60, 14), "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3)
+    got = [tuple(r) for r in near_dedup.one_of_each(df).collect()]
+    assert set(got) <= set(rows)
+    of = lambda text: [r for r in got if r[1] and r[1].startswith(text)]
+    assert [r[0] for r in of(a)] == [1] and [r[0] for r in of(b)] == [None] and of(c) == [(3, c, "x")] and len(of(words(60, 14))) == 1
+    assert sorted(str(r[:2]) for r in got if not r[1]) == ["(4, '')", "(5, None)", "(None, '')", "(None, None)"]
+
+
 def test_sketches_fill_and_estimate():
     import numpy as np
 

@@ -18,7 +18,7 @@ Shingles are compared by 64-bit fingerprints.
 
 Nulls and repeats: a null or empty text has the empty set, is linked with nothing and is kept. A row
 without doc_id takes part; its component is named by the smallest doc_id in it, null if there is none
-(then it is kept). Rows that repeat a doc_id are rows of their own (text_hash is a hash of doc_id and text: it finds a row again). Extra columns are ignored.
+(then it is kept by the query; one_of_each keeps one row of every component, with an id or not). Rows that repeat a doc_id are rows of their own (text_hash is a hash of doc_id and text: it finds a row again). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
+from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, small_batches, text_buffer, windows, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
 BINS, ROWS = 128, 4
@@ -199,6 +200,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """row_id, doc_id, text_hash, n_shingles, component_id, kept: one row per row of documents (columns doc_id, text)."""
+    return _grouped(documents).drop("comp")
+
+
+def _grouped(documents: DataFrame) -> DataFrame:
+    """What near_duplicates gives, with comp, the component's smallest node whether it has an id or not (null without shingles)."""
     docs = small_batches(_key(documents))
     signed = materialize(docs.mapInArrow(_signed, _SIGN))
     sets = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.min("doc_id").alias("least_id"))
@@ -244,17 +250,35 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = classes.join(label, "node", "left").select("set_hash", "least_id", F.coalesce("comp", "node").alias("comp"))
     names = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     # Components of one class need no join; of the others, set_hash to name.
-    multi = named.join(names, "comp").select("set_hash", F.col("component_id").alias("found"))
+    multi = named.join(names, "comp").select("set_hash", F.col("component_id").alias("found"), "comp")
     out = signed.select("row_id", "doc_id", "text_hash", "n_shingles", "set_hash").join(multi, "set_hash", "left")
     name = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
-    return out.select("row_id", "doc_id", "text_hash", "n_shingles", name.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("row_id", "doc_id", "text_hash", "n_shingles", name.alias("component_id"), "comp").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents that stay, one of each component, with all their columns."""
-    key = "_weft_key"
-    gone = materialize(near_duplicates(documents).where(~F.col("kept")).select(F.col("text_hash").alias(key)).distinct())
-    return without(documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), key, gone).drop(key)
+    """The rows of documents that stay, one of each component, with all their columns.
+
+    Of a component stays a row that the query keeps, if there is one, of several that with the smallest hash; of rows that repeat doc_id and text, one.
+    Rows without words are alike if they have the same doc_id; without one they stay."""
+    key, many, maybe = "_weft_key", "_weft_many", "_weft_maybe"
+    found = materialize(_grouped(documents).select("text_hash", "kept", "comp", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("alone")).where("comp is not null or alone is not null"))
+    texts = found.groupBy("comp", "alone", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    best = texts.groupBy("comp", "alone").agg(F.min(F.struct(~F.col("kept"), "text_hash")).alias("best")).select(F.col("best.text_hash").alias("text_hash"), F.lit(True).alias("stays"))
+    # Rows to look at: of texts that go (0 stay), and of texts that stay but stand more than once.
+    touched = materialize(texts.join(best, "text_hash", "left").withColumn("stays", F.coalesce("stays", F.lit(False))).where("not stays or n > 1").select(F.col("text_hash").alias(key), F.col("stays").alias(many)))
+    passing = Bitmap(touched, key)
+    keyed = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passing.test(batch.column(key)))], names=[*batch.schema.names, maybe])
+
+    seen = small_batches(keyed).mapInArrow(run, StructType([*keyed.schema.fields, StructField(maybe, BooleanType())]))
+    looked = seen.where(maybe).join(touched, key, "left").where(F.coalesce(many, F.lit(True)))
+    # Rows of one text share a number, all others have their own.
+    looked = looked.withColumn(many, F.when(F.col(many), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates([key, many])
+    return seen.where(~F.col(maybe)).select(*documents.columns).union(looked.select(*documents.columns))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
