@@ -239,6 +239,14 @@ def test_url_filters_as_of(spark):
     assert url_filters.judge(df, events.limit(0)).where("blocked").count() == 0 and url_filters.judge(df.limit(0), events).count() == 0
 
 
+def test_url_filter_keys_are_normalized(spark):
+    keys = [("prefix", "c.net"), ("prefix", "D.net/x/"), ("prefix", "e.net//x"), ("host", "F.com:8080"), ("domain", "G.org."), ("prefix", "h.net/X")]
+    events = spark.createDataFrame([(f"l{k}", kind, key, "add", 0) for k, (kind, key) in enumerate(keys)], "list string, kind string, key string, action string, at int")
+    want = {"http://c.net": "l0", "http://c.net/a?q": "l0", "http://x.c.net/": "", "http://d.net/x": "l1", "http://d.net/x/y": "l1", "http://d.net/xy": "", "http://e.net/x/z": "l2", "http://f.com/": "l3", "http://a.g.org/q": "l4", "http://h.net/X/": "l5", "http://h.net/x": ""}
+    df = spark.createDataFrame([(k, u, 1) for k, u in enumerate(want)], "page_id long, url string, fetched_at int")
+    assert {r["url"]: r["lists"] for r in url_filters.judge(df, events).collect()} == want
+
+
 def test_warc_round_trip_and_zip64(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc_zip, "PACKAGE", 400)
     big = "<p>" + "é" * 200

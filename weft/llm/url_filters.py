@@ -2,7 +2,8 @@
 
 List events (list, kind, key, action add or remove, at) become validity intervals: the last event of an entry
 at or before a moment says whether it is active then. A capture is judged by the entries that were active when it
-was fetched. Kinds: domain (the host and all hosts below), host (this host), prefix (host and leading path segments).
+was fetched. Kinds: domain (the host and all hosts below), host (this host), prefix (host and leading path segments; without a path, the host).
+Keys are normalized as captures are.
 
 Scale: the lists meet distinct hosts, not captures; a capture is joined only if its host (or a prefix of its URL) is listed at all, by host
 and salt, so one popular host is spread over SALTS tasks per key and AQE splits the rest. Results
@@ -35,9 +36,18 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def entry_key(kind: Column, key: Column) -> Column:
+    """A list key as captures are normalized: host in lower case without user, port and final dot; a prefix's path without empty segments."""
+    found = F.regexp_extract(F.lower(key), r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    site = F.regexp_replace(found, r"\.$", "")
+    parts = F.filter(F.split(F.regexp_extract(key, r"^[^/]*(.*)$", 1), "/", -1), lambda p: p != "")
+    return F.when(kind == "prefix", F.concat_ws("/", F.concat(F.array(site), parts))).otherwise(site)
+
+
 def intervals(events: DataFrame) -> DataFrame:
-    """list, kind, key, active_from, active_to (null: still active)."""
+    """list, kind, key (normalized), active_from, active_to (null: still active)."""
     sound = events.where(F.col("list").isNotNull() & F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove"))
+    sound = sound.withColumn("key", entry_key(F.col("kind"), F.col("key")))
     last = sound.groupBy("list", "kind", "key", "at").agg(F.max("action").alias("action"))
     order = Window.partitionBy("list", "kind", "key").orderBy("at")
     before = F.lag("action").over(order)
@@ -52,9 +62,9 @@ def _levels(host_: Column) -> Column:
 
 
 def _prefixes(host_: Column, path_: Column) -> Column:
-    """host/first, host/first/second and so on."""
+    """host, host/first, host/first/second and so on."""
     parts = F.filter(F.split(path_, "/", -1), lambda p: p != "")
-    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(host_, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat_ws("/", F.concat(F.array(host_), F.slice(parts, F.lit(1), i))))
 
 
 def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
