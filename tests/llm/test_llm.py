@@ -230,6 +230,12 @@ def test_mixing_fits_marginals(spark, docs):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_topic_is_what_its_docstring_and_sql_say(spark):
+    df = spark.createDataFrame([("a | b",), ("- a\n- b",), ("a|b",), (None,)], "text string")
+    assert [r[0] for r in df.select(mixing.topic(F.col("text"), F.lit(3))).collect()] == ["list", "short", "short", "short"]
+    assert "bar between spaces" in mixing.topic.__doc__ and "contains(text, ' | ')" in mixing.OP3_SQL
+
+
 def test_url_filters_as_of(spark):
     events = spark.createDataFrame([("l", "host", "a.com", "add", 10), ("l", "host", "a.com", "remove", 20), ("l", "host", "a.com", "add", 20), ("l", "host", "a.com", "add", 30), ("l", "host", "a.com", "remove", 40), ("m", "domain", "b.org", "add", 5), ("m", "domain", "b.org", "add", 7), ("p", "prefix", "c.net/x/y", "add", 0), (None, "host", "q", "add", 1)], "list string, kind string, key string, action string, at int")
     urls = [("http://a.com/", 9), ("http://a.com/", 10), ("http://A.com:80/q", 25), ("http://a.com", 35), ("http://u@a.com./", 40), ("http://x.b.org/", 6), ("http://xb.org/", 6), ("http://c.net/x/y/z?q", 1), ("http://c.net/x/yy", 1), (None, 3), ("nonsense", 3), ("http://a.com/", None), ("http://a.com/", 10)]

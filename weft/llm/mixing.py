@@ -45,7 +45,7 @@ def tokens(text: Column) -> Column:
 
 
 def topic(text: Column, n: Column) -> Column:
-    """The form of a text: list if it has bars or line-start bullets, else by its words."""
+    """The form of a text: list if it has a bar between spaces, else by its words. Bullets at line starts don't count, as in the SQL."""
     return F.when(F.coalesce(text.contains(" | "), F.lit(False)), "list").when(n < 100, "short").when(n < 600, "medium").otherwise("long")
 
 
