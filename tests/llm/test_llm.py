@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weft.llm import chat_format, decontaminate, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc_zip
+from weft.llm import _shared, chat_format, decontaminate, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc_zip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
 
@@ -336,10 +336,9 @@ def test_toxicity_keeps_the_ratio_and_all_windows(spark, monkeypatch):
         assert own == [(p, min(p + 12, n)) for p in range(0, max(n - 6, 1), 6)]
         assert {i for a, b in own for i in range(a, b)} == set(range(n))
     texts = ["ab c, def", "", None, "x " * 3000 + "ém"]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 1, 0, 0], pa.int32()), pa.array(texts)], names=["doc_id", "toxic", "text"])
-    got = {d["doc_id"]: [len(d["sizes"]) // 4, np.frombuffer(d["sizes"], np.int32).sum(), len(d["ids"]) // 4] for out in toxicity._streams(iter([batch])) for d in out.to_pylist()}
+    ids, sizes, n_words = toxicity.streams(*_shared.text_buffer(pa.array(texts)))
     plain = lambda w: sum(max(0, len(f" {w} ".encode()) - n + 1) for n in (3, 4, 5))
-    assert got == {1: [3, *[sum(map(plain, ("ab", "c", "def")))] * 2], 4: [3001, *[3000 * plain("x") + plain("ém")] * 2]}
+    assert n_words.tolist() == [3, 0, 0, 3001] and sizes.tolist() == [*map(plain, ("ab", "c", "def")), *[plain("x")] * 3000, plain("ém")] and len(ids) == sizes.sum()
 
     # By the sample alone toxic rows would be every second one; the probabilities keep the labels' ratio of 1 in 6.
     rows, marks = [], []
@@ -359,6 +358,47 @@ def test_toxicity_keeps_the_ratio_and_all_windows(spark, monkeypatch):
     assert (y == 0).sum() == 120 and abs((many * np.ones(len(y)))[y == 0].sum() - learnt.count(0)) < 1e-6 and abs((many * np.ones(len(y)))[y == 1].sum() - learnt.count(1)) < 1e-6
 
 
+def naive_logit(text, weights):
+    """The highest average over SPAN words, written from the docstring: n-grams of ' word ' by bytes, 32-bit arithmetic in plain integers."""
+
+    def bucket(gram):
+        acc = gram[0] * 0x01000193
+        for c in gram[1:]:
+            acc = (acc + c) * 0x01000193
+        acc = (acc ^ len(gram) * 0x9E3779B1) & 0xFFFFFFFF
+        acc = acc * 0x85EBCA6B & 0xFFFFFFFF
+        return ((acc ^ acc >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 14
+
+    own = [[bucket(w[i : i + n]) for n in (3, 4, 5) for i in range(len(w) - n + 1)] for w in (f" {x} ".encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)))]
+    spans = [[g for w in own[i : i + 12] for g in w] for i in range(max(1, len(own) - 11))]
+    return max((sum(weights[g] for g in s) / len(s) for s in spans if s), default=0.0)
+
+
+def test_toxicity_scores_match_brute_force_whatever_the_case(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(11)
+    weights = np.random.default_rng(8).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    letters = "abcdeABCDE059éßİſ日"
+    texts = ["IDIOT", "You IDIOT, Moron idiot", "", None, "...", "a", "É È"] + ["".join(r.choice(letters + " .,-\n") for _ in range(r.randrange(400))) for _ in range(60)]
+    got = toxicity.window_logits(*_shared.text_buffer(pa.array(texts)), weights)
+    assert np.allclose(got, [naive_logit(t, weights) for t in texts], atol=1e-6)
+    upper = ["".join(c.upper() if "a" <= c <= "z" else c for c in t or "") for t in texts]
+    assert np.allclose(got, toxicity.window_logits(*_shared.text_buffer(pa.array(upper)), weights), atol=1e-12)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BYTES", 500)
+    rows = [(k % 40, f"text {k} " * 5) for k in range(400)] + [(3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = toxicity.learnable(spark.createDataFrame([(k, k % 2) for k in range(80)] + [(1, 0), (None, 1)], "doc_id long, toxic int"))
+    got = toxicity.sample(df, marks).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) and {r["toxic"] for r in got} == {0, 1}
+    assert all((r["doc_id"], r["text"]) in {(d, t or "") for d, t in rows} and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in got)
+    assert all(sum(len(r["text"]) for r in got if r["toxic"] == k) <= 500 for k in (0, 1))
+
+
 def longest(pairs):
     best = [1] * len(pairs)
     for i in range(len(pairs)):

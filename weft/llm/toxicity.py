@@ -6,12 +6,14 @@ insult shares most n-grams with its other forms. A document's score is its highe
 probability of the document by a line on the logit, fitted to the training documents, each class weighted by its labels over
 its sampled ones, so that the probability stands for the labels' own ratio whatever the sample. In a toxic document only the highest window counts as toxic after the first round.
 
-Scale: the fit uses a bounded sample of labelled rows (TOXIC and CLEAN documents at most, those with the smallest hash of their id; of each all windows, which lie in
-one stream of the n-grams of its words), so what the driver gets doesn't grow with the table. Once trained, an n-gram's vector times the softmax is one number: executors
-get BUCKETS floats, and scoring is one narrow scan in array operations over whole texts, every window of each.
+Words are runs of letters, digits and non-ASCII characters after A-Z are lowered, so capitals change no score.
+
+Scale: the fit uses a bounded sample of labelled rows: the documents with the smallest hash of their id, TOXIC and CLEAN of them and BYTES of text for each class at most
+(whole texts, all their windows; of rows that repeat an id one), so what the driver gets doesn't grow with the table. Once trained, an n-gram's vector times the softmax is one number: executors
+get BUCKETS floats, and scoring is one narrow scan in array operations over whole texts of any length, every window of each.
 
 Nulls and repeats: null and empty texts get the model's score for no evidence; a null doc_id is carried (not held out, never learnt from). Repeated rows are
-scored alike. Labels that contradict each other on one doc_id: toxic wins. Without labels of both classes every score is 0. Extra columns are ignored.
+scored alike. Labels that contradict each other on one doc_id: toxic wins. Without labels of both classes every score is 0; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm._shared import ALNUM, LOWER, chunks, give_back, materialize, only, small_batches, text_buffer
 
 BUCKETS, DIM, SPAN, GRAMS = 1 << 18, 8, 12, (3, 4, 5)
-TOXIC, CLEAN = 1500, 3000
+TOXIC, CLEAN, BYTES = 1500, 3000, 12 << 20
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.25, 7
 PART = 1 << 16
 THRESHOLD = 0.3
@@ -42,7 +44,7 @@ def _spaced(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(raw) + n + 1, 32, np.uint8)
     low = LOWER[raw]
     row = np.repeat(np.arange(n), np.diff(offs))
-    out[np.arange(len(raw)) + row + 1] = np.where(ALNUM[raw], low, 32)
+    out[np.arange(len(raw)) + row + 1] = np.where(ALNUM[low], low, 32)
     return out, offs + np.arange(n + 1)
 
 
@@ -95,24 +97,17 @@ def window_logits(raw: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.
     return out
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled documents the buckets of all n-grams, word by word, and how many each word has."""
-    for batch in chunks(batches, "text"):
-        text, at = _spaced(*text_buffer(batch.column("text")))
-        starts, ends, rows = _words(text, at)
-        first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        grams = list(_grams(text))
-        places = np.concatenate([np.flatnonzero(f) for _, f in grams] or [np.zeros(0, np.int64)])
-        order = np.argsort(places, kind="stable")
-        ids, places = np.concatenate([b[f] for b, f in grams] or [np.zeros(0, np.uint32)])[order].astype(np.int32), places[order]
-        # n-grams of a word start from the byte before it to its last but one
-        low, high = np.searchsorted(places, starts - 1), np.searchsorted(places, ends - 1)
-        out = []
-        for i, (doc, toxic) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
-            a, b = first[i], first[i + 1]
-            if a < b:
-                out.append((doc, toxic, ids[low[a] : high[b - 1]].tobytes(), (high[a:b] - low[a:b]).astype(np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "toxic", "ids", "sizes"])
+def streams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all n-grams, word by word, how many each word has, and how many words each row has."""
+    text, at = _spaced(raw, offs)
+    starts, ends, rows = _words(text, at)
+    grams = list(_grams(text))
+    places = np.concatenate([np.flatnonzero(f) for _, f in grams] or [np.zeros(0, np.int64)])
+    order = np.argsort(places, kind="stable")
+    ids, places = np.concatenate([b[f] for b, f in grams] or [np.zeros(0, np.uint32)])[order].astype(np.int32), places[order]
+    # n-grams of a word start from the byte before it to its last but one
+    low, high = np.searchsorted(places, starts - 1), np.searchsorted(places, ends - 1)
+    return ids, (high - low).astype(np.int32), np.bincount(rows, minlength=len(offs) - 1)
 
 
 def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,44 +183,58 @@ def line(x: np.ndarray, y: np.ndarray, many: np.ndarray | float = 1.0) -> tuple[
     return a, b
 
 
-def _scored(shared, more: str):
+def probability(model: tuple, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    weights, bias, a, b = model
+    return 1 / (1 + np.exp(-np.clip(a * (window_logits(raw, offs, weights) + bias) + b, -30, 30)))
+
+
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, a, b = shared.value
         for batch in chunks(batches, "text"):
-            x = window_logits(*text_buffer(batch.column("text")), weights) + bias
-            score = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))) if more == "doc_id" else x
-            yield pa.RecordBatch.from_arrays([batch.column(more), pa.array(score)], names=[more, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(shared.value, *text_buffer(batch.column("text"))))], names=["doc_id", "score"])
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
-    """A model from labelled rows that are not held out; None without both classes."""
-    spark = documents.sparkSession
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id")))
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labels that are not held out, one row for each id."""
+    return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id")))
+
+
+def sample(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, toxic and text of the rows that the fit reads: bounded in rows and in bytes for each class, whole texts."""
     first = lambda k, n: marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = materialize(first(1, TOXIC).union(first(0, CLEAN)))
-    rows = materialize(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = rows.mapInArrow(_streams, "doc_id long, toxic int, ids binary, sizes binary").toArrow()
-    toxic, docs = np.array(got.column("toxic")), np.array(got.column("doc_id"))
-    if len(set(toxic.tolist())) < 2:
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat an id one, chosen on the map side.
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    held = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    keep = rows.select("doc_id", "toxic", held.alias("held"), F.row_number().over(order).alias("place")).where((F.col("held") <= BYTES) | (F.col("place") == 1))
+    return rows.join(F.broadcast(keep.select("doc_id")), "doc_id", "left_semi")
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
+    """A model from labelled rows that are not held out; None without both classes."""
+    marks = learnable(labels)
+    rows = sample(documents, marks).toArrow().sort_by("doc_id")
+    toxic = rows.column("toxic").to_numpy()
+    parts = [(batch, streams(*text_buffer(batch.column("text")))) for batch in chunks(iter(rows.to_batches()), "text")]
+    n_words = np.concatenate([p[2] for _, p in parts] or [np.zeros(0, np.int64)])
+    if len(set(toxic[n_words > 0].tolist())) < 2:
         return None
-    order = np.argsort(docs, kind="stable")
-    streams, sizes = ([np.frombuffer(x.as_buffer(), np.int32) for c in got.column(name).chunks for x in c] for name in ("ids", "sizes"))
-    flat, cut = np.concatenate([streams[k] for k in order]), np.concatenate([[0], *[sizes[k] for k in order]]).cumsum(dtype=np.int64)
-    n_words = np.array([len(sizes[k]) for k in order])
-    del got, streams, sizes
+    flat, cut = np.concatenate([p[0] for _, p in parts]), np.concatenate([[0], *[p[1] for _, p in parts]]).cumsum(dtype=np.int64)
+    parts = [batch for batch, _ in parts]
     give_back()
-    weights, bias = train(flat, cut, n_words, toxic[order])
+    weights, bias = train(flat, cut, n_words[n_words > 0], toxic[n_words > 0])
     del flat, cut
-    shared = spark.sparkContext.broadcast((weights, bias, 1.0, 0.0))
-    seen = rows.mapInArrow(_scored(shared, "toxic"), "toxic int, score double").toArrow()
-    x, y = seen.column("score").to_numpy(), seen.column("toxic").to_numpy()
-    order = np.lexsort((y, x))
+    give_back()
+    x = np.concatenate([window_logits(*text_buffer(batch.column("text")), weights) for batch in parts]) + bias
+    order = np.lexsort((toxic, x))
     # A class stands for all of its labels, of which some were drawn.
-    all_, drawn = (dict(t.groupBy("toxic").count().collect()) for t in (marks, chosen))
-    many = np.array([all_[k] / drawn[k] for k in (0, 1)])
-    return (weights, bias, *line(x[order], y[order].astype(float), many[y[order]]))
+    all_ = dict(marks.groupBy("toxic").count().collect())
+    many = np.array([all_.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)])
+    return (weights, bias, *line(x[order], toxic[order].astype(float), many[toxic[order]]))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,7 +244,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         out = docs.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        out = docs.mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(model), "doc_id"), "doc_id long, score double")
+        out = docs.mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
