@@ -1,42 +1,70 @@
-"""What several operators of this subpackage use: the shared folder, materialized tables, Arrow chunks, byte-level words."""
+"""What several operators of this subpackage use: the shared folder, materialized tables, places of rows, Arrow chunks, byte-level words."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import StructType
 
-UNSET_DIR = "/tmp/checkpoints"
+#: Where tables go in local mode (driver and executors are one process there) if spark.checkpoint.dir is unset.
+LOCAL_DIR = "/tmp/checkpoints"
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    """A folder's Hadoop path and file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or UNSET_DIR
-    return f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
+    """The URI of a new folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Only local mode can do without the setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_DIR
+    path, files = _hadoop(spark, f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}")
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return re.sub(r"^file:/(?!/)", "file:///", files.makeQualified(path).toString())
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = f"{shared_dir(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/weft-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/weft-" in f}:
+            path, files = _hadoop(df.sparkSession, folder)
+            files.delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -191,51 +219,109 @@ def numbered(make, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         at += batch.num_rows
 
 
-#: Bits of a bitmap: 16 per hash, between these. So it is 16 MB at most; beyond that more rows pass it, none is lost.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+def _is_files(df: DataFrame) -> bool:
+    """Whether df is Parquet files with columns and rows picked out of them, so that each row stands at a place of its own that another scan finds again."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet"
 
 
-class Bitmap:
-    """Hashes (long) of a table as bits: a hash of the table always passes, another one seldom does."""
+def located(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with two longs more that say where a row stands, its file and its number in it, and their names. What isn't read from Parquet files alone is written first."""
+    df = df if _is_files(df) else materialize(df)
+    file, row, place = free_name(df, "_file"), free_name(df, "_row"), df.metadataColumn("_metadata")
+    return df.select(*own(df), F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row)), file, row
 
-    def __init__(self, hashes: DataFrame, column: str):
-        n = 16 * hashes.count()
-        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << n.bit_length()))
-        size, mask = self.bits // 8, np.uint64(self.bits - 1)
 
-        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size, np.uint8)
-            for batch in batches:
-                at = (mix(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & mask).astype(np.int64)
-                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
+#: Rows of a file whose places lie together, as a power of two, and places that lie in one part.
+NEAR, PART = 20, 1 << 17
+
+
+Found = tuple[pa.RecordBatch, np.ndarray, pa.Table | None]
 
-        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size, np.uint8)
-            for batch in batches:
-                for m in batch.column("map"):
-                    out |= np.frombuffer(m.as_buffer(), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["map"])
 
-        rows = hashes.select(column).mapInArrow(marked, "map binary").coalesce(4).mapInArrow(merged, "map binary").collect()
-        data = np.zeros(size, np.uint8)
-        for r in rows:
-            data |= np.frombuffer(r["map"], np.uint8)
-        self.shared = hashes.sparkSession.sparkContext.broadcast(data)
+class Places:
+    """Rows to find again in a scan, by their places (two longs, file and row) and with columns of their own.
 
-    def test(self, column: pa.Array) -> np.ndarray:
-        at = (mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    They are written in parts, by file and runs of rows, and a task of the scan reads the parts of its own rows: neither the
+    scanned rows nor a table of all places move, and memory doesn't grow with either. One place may have several entries."""
 
+    def __init__(self, rows: DataFrame, file: str = "file", row: str = "row"):
+        self.spark, self.names = rows.sparkSession, [c for c in rows.columns if c not in (file, row)] or ["row"]
+        held = materialize(rows.withColumnsRenamed({file: "file", row: "row"}))
+        self.parts = 1 + held.count() // PART
+        self.folder = f"{shared_dir(self.spark)}/places"
+        held.withColumn("part", self._part("file", "row")).repartition("part").write.partitionBy("part").parquet(self.folder)
+        drop_shared(held)
 
-def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of df whose key (a long, not null) is not in gone (a table with that one column). Only rows that a bitmap of gone lets pass are shuffled."""
-    passing, flag = Bitmap(gone, key), f"_maybe_{key}"
-    schema = StructType([*df.schema.fields, StructField(flag, BooleanType())])
+    def drop(self) -> None:
+        """Delete the files, when all that was found is written."""
+        path, files = _hadoop(self.spark, self.folder)
+        files.delete(path, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passing.test(batch.column(key)))], names=[*batch.schema.names, flag])
+    def _part(self, file: str, row: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(file), F.shiftright(F.col(row), NEAR)), F.lit(self.parts)).cast("long")
 
-    seen = small_batches(df).mapInArrow(run, schema)
-    return seen.where(~F.col(flag)).union(seen.where(flag).join(gone, key, "left_anti").select(*seen.columns)).drop(flag)
+    def find(self, scan: DataFrame, file: str, row: str, make: Callable[[Iterator[Found]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+        """make() over (rows, found, entries) of all batches of the scan: entries[k] is one of rows[found[k]], found in order; rows are without file and row."""
+        part, folder, names = free_name(scan, "_part"), self.folder, self.names
+
+        def load(number: int) -> tuple[np.ndarray, pa.Table]:
+            files, base = fs.FileSystem.from_uri(folder)
+            listed = files.get_file_info(fs.FileSelector(f"{base}/part={number}", allow_not_found=True))
+            tables = [pq.read_table(f.path, filesystem=files, partitioning=None) for f in listed if f.path.endswith(".parquet")]
+            if not tables:
+                return np.zeros(0, np.uint64), None
+            table = pa.concat_tables(tables)
+            keys = _place(table.column("file").to_numpy(), table.column("row").to_numpy())
+            order = np.argsort(keys, kind="stable")
+            return keys[order], table.take(pa.array(order)).select(names).combine_chunks()
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[Found]:
+            held: dict[int, tuple[np.ndarray, pa.Table]] = {}
+            for batch in batches:
+                keys, numbers = _place(batch.column(file).to_numpy(), batch.column(row).to_numpy()), batch.column(part).to_numpy()
+                rows, entries = [np.zeros(0, np.int64)], []
+                for number in np.unique(numbers).tolist():
+                    if number not in held:
+                        while len(held) >= 4:
+                            held.pop(next(iter(held)))
+                        held[number] = load(number)
+                    known, table = held[number]
+                    here = np.flatnonzero(numbers == number)
+                    low, high = np.searchsorted(known, keys[here], "left"), np.searchsorted(known, keys[here], "right")
+                    many = high - low
+                    if many.any():
+                        first = np.repeat(low - (np.cumsum(many) - many), many)
+                        rows.append(np.repeat(here, many))
+                        entries.append(table.take(pa.array(np.arange(many.sum()) + first)))
+                found = np.concatenate(rows)
+                order = np.argsort(found, kind="stable")
+                table = pa.concat_tables(entries).take(pa.array(order)) if entries else None
+                yield batch.select([n for n in batch.schema.names if n not in (file, row, part)]), found[order], table
+
+        return scan.withColumn(part, self._part(f"`{file}`", f"`{row}`")).mapInArrow(lambda batches: make(looked_up(batches)), schema)
+
+
+def each(make: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[Found]], Iterator[pa.RecordBatch]]:
+    return lambda triples: (make(*t) for t in triples)
+
+
+def _place(file: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for a file's hash and a row's number."""
+    return mix(file.view(np.uint64)) + row.view(np.uint64)
+
+
+def without(df: DataFrame, file: str, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of a located table whose places are not in gone (columns file, row), without these two columns."""
+    schema = StructType([f for f in df.schema.fields if f.name not in (file, row)])
+
+    def rest(batch: pa.RecordBatch, found: np.ndarray, _: pa.Table) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, bool)
+        keep[found] = False
+        return batch.filter(pa.array(keep))
+
+    return Places(gone).find(small_batches(df), file, row, each(rest), schema)

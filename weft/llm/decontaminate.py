@@ -6,29 +6,33 @@ shingle. Shingles are ordered by rarity, which is their number of documents in t
 rarest one of a window is joined with the shingles of the documents; the place of that shingle in
 the window and the lengths bound where the window can start, and the words there are compared exactly.
 
-Scale: documents are scanned twice and never shuffled. Both scans look shingles up in a bitmap of a
-fixed size (BITMAP bits, whatever the benchmark's size), so only rows that hold a benchmark shingle leave the scan: counts of
-shingles (combined by task), then candidates with the few words around them. Candidates are joined by
+Scale: documents are scanned twice and never shuffled. Both scans look shingles up in a bitmap of BITS_EACH bits for
+each shingle, so only rows that hold a benchmark shingle leave the scan: counts of
+shingles (combined by task), then candidates with the few words around them. A bitmap holds MOST shingles at most (16 MB); a larger benchmark takes
+more scans, each with the bitmap of another part of the shingles. Bitmaps are made of pieces by all tasks. Candidates are joined by
 shingle and salt, so a passage that a third of all documents share is spread. The benchmark is never collected.
 
 Nulls and repeats: null or empty texts have no words (not contaminated); items without words have no windows. A null doc_id
-is carried; each row has a row in the result, repeated or not. Extra columns are ignored; benchmark rows without
-item_id are not named, but their windows hit. Items that repeat an item_id count once.
+is carried; each row has a row in the result, repeated or not. Very long texts are scanned whole. An empty benchmark finds nothing; an empty table gives no rows.
+Extra columns are ignored (clean keeps them); benchmark rows without item_id are not named, but their windows hit. Items that repeat an item_id count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, materialize, numbered, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
+from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, located, materialize, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
 
 SPAN, SHINGLE, SHARE = 13, 3, 20
-BITMAP = 1 << 22
+BITS_EACH, MOST, PIECE = 16, 1 << 23, 1 << 15
 SALTS = 16
 
 
@@ -58,55 +62,49 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
-def _bit_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)) & np.uint64(BITMAP - 1)
-
-
-def _bitmap(shingles: DataFrame) -> dict[int, np.ndarray]:
-    """Per shingle width a bitmap of BITMAP bits of the column shingle; ORed on the executors, so that the driver gets a fixed number of bytes."""
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            widths, hashes = batch.column("width").to_numpy(), batch.column("shingle").to_numpy().view(np.uint64)
-            for w in np.unique(widths):
-                maps.setdefault(int(w), np.zeros(BITMAP, bool))[_bit_of(hashes[widths == w])] = True
-        for w, m in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([np.packbits(m).tobytes()], pa.binary())], names=["width", "map"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for w, m in zip(batch.column("width").to_pylist(), batch.column("map"), strict=True):
-                got = np.frombuffer(m.as_buffer(), np.uint8)
-                maps[w] = maps[w] | got if w in maps else got.copy()
-        for w, m in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["width", "map"])
-
-    kind = "width int, map binary"
-    rows = shingles.select("width", "shingle").mapInArrow(marked, kind).coalesce(8).mapInArrow(merged, kind).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        got = np.frombuffer(r["map"], np.uint8)
-        out[r["width"]] = out[r["width"]] | got if r["width"] in out else got.copy()
+class Known(NamedTuple):
+    """A bitmap of one part of the shingles, and the widths that occur."""
+
+    bits: np.ndarray
+    part: int
+    parts: int
+    widths: list[int]
+
+    def found(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each width the shingles that the bitmap may hold, with their first words."""
+        for width in self.widths:
+            got, first = windows(hashes, rows, width)
+            if self.parts > 1:
+                own = np.flatnonzero((got >> np.uint64(44)) % np.uint64(self.parts) == self.part)
+                got, first = got[own], first[own]
+            at = (got & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
+            keep = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield width, got[keep], first[keep]
+
+
+def known(shingles: DataFrame) -> list[Broadcast]:
+    """Bitmaps of a table of shingles (width, shingle), broadcast: as many as hold all of them with BITS_EACH bits for each."""
+    widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
+    n = shingles.count()
+    parts = max(1, -(-n // MOST))
+    size = max(PIECE, 1 << (BITS_EACH * -(-n // parts) - 1).bit_length()) if n else PIECE
+    at = F.col("shingle").bitwiseAND(F.lit(size - 1))
+    pieces = shingles.select(F.pmod(F.shiftrightunsigned("shingle", 44), F.lit(parts)).alias("part"), F.shiftright(at, PIECE.bit_length() - 1).alias("piece"), at.bitwiseAND(F.lit(PIECE - 1)).alias("at"))
+    pieces = pieces.groupBy("part", "piece").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = []
+    for part in range(parts):
+        bits = np.zeros(size // 8, np.uint8)
+        for r in pieces.where(F.col("part") == part).collect():
+            bits[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
+        out.append(shingles.sparkSession.sparkContext.broadcast(Known(bits, part, parts, widths)))
     return out
 
 
-def _found(maps: dict[int, np.ndarray], hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each width the shingles that the bitmap may hold, with their first words."""
-    for width, bits in maps.items():
-        got, first = windows(hashes, rows, width)
-        at = _bit_of(got)
-        keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
-        keep = np.flatnonzero(keep)
-        yield width, got[keep], first[keep]
-
-
 def _counted(shared):
     """(shingle, n): in how many rows each benchmark shingle occurs, combined within the task and given out when many have gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, held, size = shared.value, [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
             got, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
@@ -114,7 +112,7 @@ def _counted(shared):
 
         for batch in chunks(batches, "text"):
             _, _, _, rows, hashes = _words(batch)
-            for _, got, first in _found(maps, hashes, rows):
+            for _, got, first in shared.value.found(hashes, rows):
                 pairs = np.unique(np.stack([rows[first].astype(np.uint64), got]), axis=1)[1] if len(got) else got
                 held.append(pairs)
                 size += len(pairs)
@@ -126,76 +124,80 @@ def _counted(shared):
     return run
 
 
+_PLACES = "array<struct<shingle: long, width: int, at: long, left: int, around: array<string>>>"
+
+
 def _candidates(shared):
-    """Per row of documents: row_id, doc_id, n_words and the places where a prefix shingle may stand, with the words around."""
+    """Per row of documents: its place, doc_id, n_words and where a prefix shingle may stand, with the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
-
-        def make(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        for batch in chunks(batches, "text"):
             raw, starts, ends, rows, hashes = _words(batch)
             n = batch.num_rows
             counts = np.bincount(rows, minlength=n).astype(np.int64)
             base = np.concatenate([[0], np.cumsum(counts)])
             data, places = raw.tobytes(), [[] for _ in range(n)]
-            for width, got, first in _found(maps, hashes, rows):
+            for width, got, first in shared.value.found(hashes, rows):
                 for h, k in zip(got.view(np.int64).tolist(), first.tolist(), strict=True):
                     i = int(rows[k])
                     low, high = max(int(base[i]), k - SPAN + 1), min(int(base[i + 1]), k + SPAN)
                     places[i].append((h, width, k - int(base[i]), k - low, [data[starts[j] : ends[j]].decode() for j in range(low, high)]))
             kind = pa.list_(pa.struct([("shingle", pa.int64()), ("width", pa.int32()), ("at", pa.int64()), ("left", pa.int32()), ("around", pa.list_(pa.string()))]))
-            cells = [[dict(zip(("shingle", "width", "at", "left", "around"), p, strict=True)) for p in own] for own in places]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), batch.column("doc_id"), pa.array(counts), pa.array(cells, kind)], names=["row_id", "doc_id", "n_words", "places"])
-
-        return numbered(make, chunks(batches, "text"))
+            cells = [[dict(zip(("shingle", "width", "at", "left", "around"), p, strict=True)) for p in found] for found in places]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array(counts), pa.array(cells, kind)], names=["file", "row", "doc_id", "n_words", "places"])
 
     return run
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated: one row per row of documents."""
-    spark = small_batches(documents).sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated: one row per row of documents."""
+    docs, file, row = located(only(documents, "doc_id", "text"))
+    return _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(file).alias("file"), F.col(row).alias("row")), benchmark).drop("file", "row")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What contamination gives, with the places of the rows."""
+    docs, place = small_batches(docs), ["file", "row"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     each = materialize(items.mapInArrow(_item_windows, "item_id long, words string, len int, width int, shingles array<long>, places array<int>"))
     windows_ = each.select("words", "len", "width", "shingles", "places").dropDuplicates(["words"])
     grams = materialize(windows_.select("words", "len", "width", F.explode(F.arrays_zip(F.col("shingles").alias("shingle"), F.col("places").alias("place"))).alias("z")).select("words", "len", "width", F.col("z.shingle").alias("shingle"), F.col("z.place").alias("place")))
 
-    seen = spark.sparkContext.broadcast(_bitmap(grams.select("width", "shingle").distinct()))
-    rarity = docs.select("text").mapInArrow(_counted(seen), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = [docs.select("text").mapInArrow(_counted(seen), "shingle long, n long") for seen in known(materialize(grams.select("width", "shingle").distinct()))]
+    rarity = reduce(DataFrame.union, counts).groupBy("shingle").agg(F.sum("n").alias("n"))
     ranked = grams.join(rarity, "shingle", "left").select("words", "len", "width", "shingle", "place", F.coalesce("n", F.lit(0)).alias("n"))
     prefix = materialize(ranked.groupBy("words").agg(F.min(F.struct("n", "shingle", "place", "len", "width")).alias("rarest")).where("rarest.n > 0").select("words", "rarest.shingle", "rarest.place", "rarest.len", "rarest.width"))
 
-    wanted = spark.sparkContext.broadcast(_bitmap(prefix))
-    scanned = materialize(docs.mapInArrow(_candidates(wanted), "row_id long, doc_id long, n_words long, places array<struct<shingle: long, width: int, at: long, left: int, around: array<string>>>"))
-    near = scanned.select("row_id", F.explode("places").alias("p")).select("row_id", "p.*").withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
+    found = [materialize(docs.mapInArrow(_candidates(wanted), f"file long, row long, doc_id long, n_words long, places {_PLACES}")) for wanted in known(materialize(prefix.select("width", "shingle").distinct()))]
+    scanned = found[0]
+    near = reduce(DataFrame.union, [x.select(*place, F.explode("places").alias("p")).select(*place, "p.*") for x in found]).withColumn("salt", F.pmod(F.hash(*place), F.lit(SALTS)))
     rare = prefix.select(F.col("shingle").alias("s"), F.col("width").alias("w"), "place", "len", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_w"))
     start = F.col("left") - F.col("place")
     fits = (start >= 0) & (start + F.col("len") <= F.size("around"))
     equal = F.array_join(F.slice("around", F.when(fits, start + 1).otherwise(F.lit(1)), F.when(fits, F.col("len")).otherwise(F.lit(0))), " ") == F.col("words")
     on = (F.col("shingle") == F.col("s")) & (F.col("width") == F.col("w")) & (F.col("salt") == F.col("salt_w")) & fits & equal
-    hits = materialize(near.join(rare, on).select("row_id", (F.col("at") - F.col("place")).alias("start"), "len", "words").distinct())
+    hits = materialize(near.join(rare, on).select(*place, (F.col("at") - F.col("place")).alias("start"), "len", "words").distinct())
 
     # Words under any window: intervals by start, each adds what lies beyond the furthest end so far.
-    spans = hits.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    spans = hits.groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
     step = lambda acc, x: F.struct(F.greatest(acc["far"], x["start"] + x["len"]).alias("far"), (acc["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(acc["far"], x["start"]))).alias("n"))
-    covered = spans.select("row_id", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("n")), step)["n"].alias("n_hit"))
-    owners = each.where("item_id is not null").select("words", "item_id").distinct()
-    own = hits.select("row_id", "words").distinct().join(owners, "words").groupBy("row_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    flagged = covered.join(own, "row_id", "left")
-    out = scanned.select("row_id", "doc_id", "n_words").join(flagged, "row_id", "left")
+    covered = spans.select(*place, F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("n")), step)["n"].alias("n_hit"))
+    owners = materialize(each.where("item_id is not null").select("words", "item_id").distinct())
+    named = materialize(hits.select(*place, "words").distinct())
+    own = named.join(owners, "words").groupBy(*place).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    flagged = covered.join(own, place, "left")
+    out = scanned.select(*place, "doc_id", "n_words").join(flagged, place, "left")
     none = F.array().cast("array<string>")
-    out = out.select("row_id", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
-    drop_shared(grams)
+    out = out.select(*place, "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    drop_shared(grams, prefix)
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns. A text's verdict is the same in each row that holds it."""
-    key = "_weft_key"
-    marked = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    verdict = contamination(marked.select(F.col(key).alias("doc_id"), "text"), benchmark)
-    return without(marked, key, materialize(verdict.where("contaminated").select(F.col("doc_id").alias(key)).distinct())).drop(key)
+    """The rows of documents that are not contaminated, with all their columns."""
+    docs, file, row = located(documents)
+    found = _scanned(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(file).alias("file"), F.col(row).alias("row")), benchmark)
+    return without(docs, file, row, found.where("contaminated").select("file", "row"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,42 +6,47 @@ and each bin keeps its smallest value. So all coordinates fill, with concentrati
 T log T placements for any set size. Bands of sketch coordinates propose candidates, and full
 shingle sets confirm each link.
 
-Scale: documents with one and the same shingle set meet in one representative first, so exact copies
-never form pairs. In a bucket only the pairs (hub, member) are confirmed; their components leave few
+Scale: texts are scanned where they lie and never shuffled. Documents with one and the same shingle set meet in one representative first, so exact copies
+never form pairs. A bucket's hub is its smallest node; only the pairs (hub, member) are confirmed first, their components leave few
 buckets with members of more than one component, and only pairs across components are looked at
-there, after a test on parity bitmaps (the bits in which two differ are at most the shingles in which the sets
-differ, so the test drops no link). All joins are equi-joins on hashes (AQE splits hot ones);
-shingle sets are made only for documents that stand in some pair (a bitmap of their keys, 16 MB at most, finds them in the scan, so texts are never shuffled); nothing is collected, no bucket is capped.
+there. Pairs pass a test on parity bitmaps (the bits in which two differ are at most the shingles in which the sets
+differ, so the test drops no link) before full sets are compared: then a second scan makes the shingle sets of the documents of some pair alone,
+which it finds by their places in the files, and sends each member to its hub's group (salted, so that a hub with many members is many groups) in one shuffle, where it is compared as it streams by.
+All joins are equi-joins of plain tables, so AQE splits hot keys; nothing is collected, no bucket is capped.
 
 Links at the threshold are missed with probability (1 - s^ROWS)^BANDS, 5e-6 at s = 0.75, as any banding does.
 Shingles are compared by 64-bit fingerprints.
 
 Nulls and repeats: a null or empty text has the empty set, is linked with nothing and is kept. A row
 without doc_id takes part; its component is named by the smallest doc_id in it, null if there is none
-(then it is kept by the query; one_of_each keeps one row of every component, with an id or not). Rows that repeat a doc_id are rows of their own (text_hash is a hash of doc_id and text: it finds a row again). Extra columns are ignored.
+(then it is kept by the query; one_of_each keeps one row of every component, with an id or not). Rows that repeat a doc_id are rows of their own.
+Very long texts are whole sets; an empty table gives no rows. Extra columns are ignored (one_of_each keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
-from weft.llm._shared import LOWER, SPACED, Bitmap, chunks, drop_shared, materialize, mix, numbered, only, small_batches, text_buffer, windows, word_hashes, word_spans
+from weft.llm._shared import LOWER, SPACED, Places, chunks, drop_shared, each, located, materialize, mix, numbered, only, small_batches, text_buffer, windows, without, word_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Longs of a parity bitmap, and of its folded form that is tried first.
 LONGS, FOLDED = 32, 8
+#: Members of a hub that are compared in one group, and groups of a hub at most.
+GROUP, GROUPS = 32, 4096
+#: Bits of a row_id that number the rows of a task of the first scan, which wrote them to one file.
+TASK = 36
 
-_SIGN = "row_id long, doc_id long, text_hash long, n_shingles long, set_hash binary, parity array<long>, bands array<long>"
+_SIGN = "row_id long, file long, row long, doc_id long, n_shingles long, set_hash binary, parity array<long>, bands array<long>"
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -105,45 +110,94 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * LONGS + 1, LONGS, dtype=np.int32)), pa.array(parities(sets).reshape(-1)))
         names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(at, at + len(sets))), batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(names, pa.binary()), marks, lists],
-            names=["row_id", "doc_id", "text_hash", "n_shingles", "set_hash", "parity", "bands"],
+            [pa.array(np.arange(at, at + len(sets))), batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(names, pa.binary()), marks, lists],
+            names=["row_id", "file", "row", "doc_id", "n_shingles", "set_hash", "parity", "bands"],
         )
 
     return numbered(sign, chunks(batches, "text", rows=1024))
 
 
-def _with_sets(passing: Bitmap):
-    """Row key, doc_id and shingle set of the rows whose key passes the bitmap."""
+def _banded(rows: pa.RecordBatch, found: np.ndarray, _: pa.Table) -> pa.RecordBatch:
+    """One row for each band of the found rows."""
+    some = rows.take(pa.array(found))
+    return pa.RecordBatch.from_arrays([some.column("bands").flatten(), pa.array(np.repeat(some.column("row_id").to_numpy(), BANDS))], names=["key", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.filter(pa.array(passing.test(batch.column("text_hash"))))
-            for part in chunks(iter([some]), "text"):
-                sets = shingle_sets(*text_buffer(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "h", "shingles"])
 
-    return run
+def _marked(rows: pa.RecordBatch, found: np.ndarray, entries: pa.Table) -> pa.RecordBatch:
+    """The entries with their rows' sizes, bitmaps and places in the documents."""
+    some = rows.take(pa.array(found))
+    own = [some.column(c) for c in ("n_shingles", "parity", "file", "row")]
+    return _entered(entries, own, ["n", "parity", "file", "row"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            p, q = (p, q) if len(p) <= len(q) else (q, p)
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int((q[at] == p).sum()) if len(q) else 0
-            if both and 100 * both >= PERCENT * (len(p) + len(q) - both):
-                keep.append(i)
-        took = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([took.column("a"), took.column("b")], names=["a", "b"])
+def _entered(entries: pa.Table | None, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    own = [entries.column(c).combine_chunks() if entries else pa.array([], t) for c, t in (("hub", pa.int64()), ("salt", pa.int64()), ("side", pa.int32()), ("node", pa.int64()))]
+    return pa.RecordBatch.from_arrays([*own, *columns], names=["hub", "salt", "side", "node", *names])
+
+
+def _shingled(rows: pa.RecordBatch, found: np.ndarray, entries: pa.Table | None) -> pa.RecordBatch:
+    """The entries with their rows' shingle sets."""
+    some, at = np.unique(found, return_inverse=True)
+    sets: list[bytes] = []
+    for part in chunks(iter([rows.select(["text"]).take(pa.array(some))]), "text"):
+        sets += [s.tobytes() for s in shingle_sets(*text_buffer(part.column("text")))]
+    return _entered(entries, [pa.array([sets[k] for k in at], pa.binary())], ["shingles"])
+
+
+def _similar(x: pa.Scalar, y: pa.Scalar) -> bool:
+    """Whether two sorted sets are similar enough."""
+    p, q = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), key=len)
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = int((q[at] == p).sum()) if len(q) else 0
+    return both > 0 and 100 * both >= PERCENT * (len(p) + len(q) - both)
+
 
+def _by_sets(hub: pa.RecordBatch, members: pa.RecordBatch) -> list[int]:
+    return [i for i, y in enumerate(members.column("shingles")) if _similar(hub.column("shingles")[0], y)]
 
-def _key(df: DataFrame) -> DataFrame:
-    """doc_id, text and what finds the same row again in another scan."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.withColumn("text_hash", F.xxhash64("doc_id", "text"))
+
+def _by_parity(hub: pa.RecordBatch, members: pa.RecordBatch) -> list[int]:
+    x, y = (np.asarray(b.column("parity").flatten()).view(np.uint64).reshape(-1, LONGS) for b in (hub, members))
+    n = members.column("n").to_numpy()
+    near = np.minimum(n, own := hub.column("n")[0].as_py()) * 100 >= np.maximum(n, own) * PERCENT
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return np.flatnonzero(near & (differ * (100 + PERCENT) <= (n + own) * (100 - PERCENT))).tolist()
+
+
+def _streamed(test, more: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (hub a, member b) that pass the test, of rows sorted by hub, salt and side: each group begins with its hub. more: columns that are given for both."""
+    hub = None
+    for batch in batches:
+        cuts = [0, *np.flatnonzero(batch.column("side").to_numpy() == 0).tolist(), batch.num_rows]
+        kept = []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low < high:
+                if batch.column("side")[low].as_py() == 0:
+                    hub, low = batch.slice(low, 1), low + 1
+                members = batch.slice(low, high - low)
+                some = members.take(pa.array(test(hub, members), pa.int64()))
+                if some.num_rows:
+                    same = hub.take(pa.array(np.zeros(some.num_rows, np.int64)))
+                    kept.append(pa.RecordBatch.from_arrays([x.column(c) for c in ("node", *more) for x in (same, some)], names=[f"{s}{c}" for c in ("", *(f"_{m}" for m in more)) for s in "ab"]))
+        yield from kept
+
+
+def _compared(pairs: DataFrame, scan: DataFrame, place, carry, kinds: str, test, more: list[str]) -> DataFrame:
+    """The pairs (a, b) that pass a test on what a scan says of both. place(s): columns file and row of side s; carry: entries to rows of kinds."""
+    many = materialize(pairs.groupBy("a").agg(F.count("*").alias("many")))
+    groups = F.least(F.lit(GROUPS), 1 + F.floor(F.col("many") / GROUP)).cast("long")
+    sent = pairs.join(many, "a")
+    members = sent.select(*place("b"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), groups).alias("salt"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    hubs = sent.dropDuplicates(["a"]).select(*place("a"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    places = Places(members.union(hubs))
+    rows = places.find(scan, "_at_file", "_at_row", each(carry), f"hub long, salt long, side int, node long, {kinds}")
+    kept = [f"{s}_{m} long" for m in more for s in "ab"]
+    dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side")
+    out = materialize(dealt.mapInArrow(partial(_streamed, test, more), ", ".join(["a long, b long", *kept])))
+    places.drop()
+    drop_shared(many)
+    return out
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -162,23 +216,18 @@ def _alike(differ: Column, size: Column) -> Column:
     return differ * (100 + PERCENT) <= size * (100 - PERCENT)
 
 
-def _parity(x: str, y: str) -> Column:
-    """The number of bits in which two bitmaps differ."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda acc, n: acc + n)
+def _places(rows: str, named: str = "") -> list[Column]:
+    """file and row of a row_id in the table of signed rows."""
+    return [F.shiftright(F.col(rows), TASK).alias(f"{named}file"), F.col(rows).bitwiseAND(F.lit((1 << TASK) - 1)).alias(f"{named}row")]
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough. docs: of _key; nodes: node, doc_id, text_hash, n, parity."""
-    one, two = (nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}")) for side in "ab")
-    pairs = materialize(pairs.join(one, "a").join(two, "b").where(_near(F.col("n_a"), F.col("n_b")) & _alike(_parity("p_a", "p_b"), F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    nodes = nodes.select("node", "doc_id", "text_hash")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
-    made = docs.mapInArrow(_with_sets(Bitmap(needed, "text_hash")), "d long, h long, shingles binary")
-    sets = materialize(made.join(needed, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "shingles"))
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long").distinct())
-    drop_shared(sets)
-    drop_shared(needed)
+def confirm(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough; pairs whose sizes and bitmaps rule that out aren't looked at. docs: of _texts."""
+    marks = signed.select("n_shingles", "parity", "file", "row", *_places("row_id", "_at_"))
+    near = _compared(pairs, marks, _places, _marked, "n long, parity array<long>, file long, row long", _by_parity, ["file", "row"])
+    there = lambda s: [F.col(f"{s}_{c}").alias(c) for c in ("file", "row")]
+    out = _compared(near, docs.withColumnsRenamed({"file": "_at_file", "row": "_at_row"}), there, _shingled, "shingles binary", _by_sets, [])
+    drop_shared(near)
     return out
 
 
@@ -199,40 +248,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """row_id, doc_id, text_hash, n_shingles, component_id, kept: one row per row of documents (columns doc_id, text)."""
-    return _grouped(documents).drop("comp")
+    """row_id, doc_id, n_shingles, component_id, kept: one row per row of documents (columns doc_id, text)."""
+    return _grouped(*located(only(documents, "doc_id", "text"))).drop("comp", "file", "row")
 
 
-def _grouped(documents: DataFrame) -> DataFrame:
-    """What near_duplicates gives, with comp, the component's smallest node whether it has an id or not (null without shingles)."""
-    docs = small_batches(_key(documents))
+def _grouped(documents: DataFrame, file: str, row: str) -> DataFrame:
+    """What near_duplicates gives, with comp, the component's smallest node whether it has an id or not (null without shingles), and the place of the row."""
+    docs = small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(file).alias("file"), F.col(row).alias("row")))
     signed = materialize(docs.mapInArrow(_signed, _SIGN))
-    sets = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.min("doc_id").alias("least_id"))
-    classes = materialize(sets.select("set_hash", F.col("first.row_id").alias("node"), "least_id"))
-    nodes = materialize(signed.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "parity", "bands"))
-    where = nodes.select("node", "doc_id", "text_hash", "n", "parity")
+    docs = docs.select("text", "file", "row")
+    classes = materialize(signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id")))
 
     # Hubs: the smallest node of each bucket with at least two.
-    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
-    members = materialize(rows.join(hubs.select("key", "hub"), "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    stars = materialize(members.where((F.col("node") != F.col("hub")) & _near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = confirm(docs, where, stars)
-    looked = [stars]
+    scan, firsts = signed.select("row_id", "bands", *_places("row_id", "_at_")), Places(classes.select(*_places("node")))
+    rows = firsts.find(scan, "_at_file", "_at_row", each(_banded), "key long, node long")
+    hubs = materialize(rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub"))
+    members = materialize(rows.join(hubs, "key"))
+    firsts.drop()
+    drop_shared(hubs)
+    stars = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    edges = confirm(docs, signed, stars)
+    looked, done = [stars], []
 
     def across() -> DataFrame:
-        """Pairs that share a bucket but no component, near by size and bitmap, and not looked at yet."""
+        """Pairs that share a bucket but no component, near by size and folded bitmap, and not looked at yet."""
         label = components(edges)
-        now = members.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("comp", "node").alias("comp"))
-        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main")).where("low <> high")
-        open_ = materialize(now.join(split.select("key", "main"), "key").join(nodes.select("node", "parity"), "node").select("key", "node", "n", "comp", "main", "parity", *_folded("parity")))
+        now = materialize(members.join(label, "node", "left").select("key", "node", F.when(F.col("node") == F.col("hub"), 1).alias("is_hub"), F.coalesce("comp", "node").alias("comp")))
+        split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("is_hub") == 1, F.col("comp"))).alias("main")).where("low <> high")
+        split = materialize(split.select("key", "main"))
+        sizes = materialize(now.join(split, "key").select("key", "node", "comp", "main"))
+        nodes = sizes.select("node").distinct().join(signed.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), *_folded("parity")), "node")
+        open_ = materialize(sizes.join(nodes, "node"))
+        done.extend((label, now, split, sizes, open_))
         one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "key"]) for side in "xy")
-        size = F.col("n_x") + F.col("n_y")
-        first = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"f{k}_x").bitwiseXOR(F.col(f"f{k}_y"))) for k in range(FOLDED)])
+        differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"f{k}_x").bitwiseXOR(F.col(f"f{k}_y"))) for k in range(FOLDED)]).cast("long")
         apart = F.col("comp_x") != F.col("comp_y")
         once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
-        differ = _parity("parity_x", "parity_y")
-        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & _alike(first.cast("long"), size) & _alike(differ, size))
+        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & _alike(differ, F.col("n_x") + F.col("n_y")))
         pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("node_x").alias("of"), (-differ).alias("same"))
         for old in looked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -240,45 +292,39 @@ def _grouped(documents: DataFrame) -> DataFrame:
 
     # First the best partner of each member outside its bucket's main component, then all that is still apart.
     best = materialize(across().groupBy("of").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+    drop_shared(*done)
     if not best.isEmpty():
         looked.append(best)
-        edges = materialize(edges.union(confirm(docs, where, best)))
+        edges = materialize(edges.union(confirm(docs, signed, best)))
+        done.clear()
         rest = materialize(across().select("a", "b").distinct())
+        drop_shared(*done)
         if not rest.isEmpty():
-            edges = materialize(edges.union(confirm(docs, where, rest)))
+            edges = materialize(edges.union(confirm(docs, signed, rest)))
+    drop_shared(members)
     label = components(edges)
-    named = classes.join(label, "node", "left").select("set_hash", "least_id", F.coalesce("comp", "node").alias("comp"))
-    names = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    # Components of one class need no join; of the others, set_hash to name.
-    multi = named.join(names, "comp").select("set_hash", F.col("component_id").alias("found"), "comp")
-    out = signed.select("row_id", "doc_id", "text_hash", "n_shingles", "set_hash").join(multi, "set_hash", "left")
+    names = materialize(label.join(classes.select("node", "least_id"), "node").groupBy("comp").agg(F.min("least_id").alias("id")))
+    named = materialize(classes.join(label, "node", "left").select("set_hash", "least_id", F.coalesce("comp", "node").alias("comp")))
+    # Components of one class are named by it; of the others, a table of plain rows, so that AQE splits a large one.
+    named = materialize(named.join(names, "comp", "left").select("set_hash", "comp", F.when(F.col("id").isNull(), F.col("least_id")).otherwise(F.col("id")).alias("found")))
+    out = signed.select("row_id", "file", "row", "doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     name = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
-    return out.select("row_id", "doc_id", "text_hash", "n_shingles", name.alias("component_id"), "comp").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("row_id", "file", "row", "doc_id", "n_shingles", name.alias("component_id"), "comp").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay, one of each component, with all their columns.
 
-    Of a component stays a row that the query keeps, if there is one, of several that with the smallest hash; of rows that repeat doc_id and text, one.
-    Rows without words are alike if they have the same doc_id; without one they stay."""
-    key, many, maybe = "_weft_key", "_weft_many", "_weft_maybe"
-    found = materialize(_grouped(documents).select("text_hash", "kept", "comp", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("alone")).where("comp is not null or alone is not null"))
-    texts = found.groupBy("comp", "alone", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    best = texts.groupBy("comp", "alone").agg(F.min(F.struct(~F.col("kept"), "text_hash")).alias("best")).select(F.col("best.text_hash").alias("text_hash"), F.lit(True).alias("stays"))
-    # Rows to look at: of texts that go (0 stay), and of texts that stay but stand more than once.
-    touched = materialize(texts.join(best, "text_hash", "left").withColumn("stays", F.coalesce("stays", F.lit(False))).where("not stays or n > 1").select(F.col("text_hash").alias(key), F.col("stays").alias(many)))
-    passing = Bitmap(touched, key)
-    keyed = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passing.test(batch.column(key)))], names=[*batch.schema.names, maybe])
-
-    seen = small_batches(keyed).mapInArrow(run, StructType([*keyed.schema.fields, StructField(maybe, BooleanType())]))
-    looked = seen.where(maybe).join(touched, key, "left").where(F.coalesce(many, F.lit(True)))
-    # Rows of one text share a number, all others have their own.
-    looked = looked.withColumn(many, F.when(F.col(many), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates([key, many])
-    return seen.where(~F.col(maybe)).select(*documents.columns).union(looked.select(*documents.columns))
+    Of a component stays the first row that the query keeps, if there is one, else the first. Rows without words are alike if they have the same doc_id; without one they stay."""
+    docs, file, row = located(documents)
+    grouped = _grouped(docs, file, row)
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    # Rows that are kept come first.
+    order = F.col("row_id") + F.when(F.col("kept"), F.lit(0)).otherwise(F.lit(1 << 62))
+    found = materialize(grouped.select("file", "row", F.coalesce("comp", alone).alias("of"), F.col("comp").isNull().alias("bare"), order.alias("place")).where("of is not null"))
+    first = materialize(found.groupBy("of", "bare").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    gone = found.join(first, ["of", "bare"]).where("place <> first").select("file", "row")
+    return without(docs, file, row, gone)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
