@@ -6,10 +6,10 @@ import struct
 import numpy as np
 import pytest
 
-from weft import cli
+from weft import cli, tables
 from weft.functions import codecs
 from weft.operators import diff, health, stats
-from weft.sources import headers, tensors, writers
+from weft.sources import headers, shards, tensors, writers
 
 
 @pytest.fixture(scope="module")
@@ -165,21 +165,41 @@ def test_health_finds_what_is_planted_and_nothing_else(spark, demo):
         got = health.check(stats.summaries(tensors.scan_tensors(spark, str(demo / name))), health.Thresholds(**more)).collect()
         return [(r["name"].split(".")[0], r["check"]) for r in got]
 
-    assert found("sick.safetensors") == [("constant", "constant"), ("dead_rows", "dead-rows"), ("huge", "large-magnitude"), ("huge", "f16-range"), ("huge", "row-norm"), ("non_finite", "non-finite"), ("outlier_rows", "row-norm"), ("sparse", "sparse"), ("zeros", "all-zero")]
-    assert found("encoder.safetensors") == [] and found("tiny_q4_0.gguf") == []
-    assert ("sparse", "sparse") not in found("sick.safetensors", max_zero_fraction=0.8)
+    assert found("faults.safetensors") == [("blank", "all-zero"), ("burnt", "non-finite"), ("empty", "dead-rows"), ("hot", "large-magnitude"), ("hot", "f16-range"), ("hot", "row-norm"), ("level", "constant"), ("loud", "row-norm"), ("thin", "sparse")]
+    assert found("plain.safetensors") == [] and found("blocks_q4_0.gguf") == []
+    assert ("thin", "sparse") not in found("faults.safetensors", max_zero_fraction=0.8)
+
+
+def plain_values(path) -> dict[str, np.ndarray]:
+    """The values of a safetensors file, by the format's description alone."""
+    data = path.read_bytes()
+    n = int.from_bytes(data[:8], "little")
+    own = {"F32": "<f4", "F16": "<f2"}
+    out = {}
+    for name, t in json.loads(data[8 : 8 + n]).items():
+        if name != "__metadata__":
+            raw = data[8 + n + t["data_offsets"][0] : 8 + n + t["data_offsets"][1]]
+            out[name] = np.frombuffer(raw, own[t["dtype"]]).astype(np.float64) if t["dtype"] in own else (np.frombuffer(raw, "<u2").astype("<u4") << 16).view("<f4").astype(np.float64)
+    return out
 
 
 def test_diff_categories_metrics_and_collisions(spark, demo, tmp_path):
-    a, b = (tensors.scan_tensors(spark, str(demo / n)) for n in ("encoder.safetensors", "encoder_finetuned.safetensors"))
-    rows = {r["norm"]: r for r in diff.compare(a, b).collect()}
-    assert {k: r["outcome"] for k, r in rows.items()} == {"embeddings.weight": "compared", "layer.0.dense.weight": "compared", "layer.0.dense.bias": "compared", "pooler.weight": "shape_mismatch", "lm_head.weight": "only_a", "classifier.weight": "only_b"}
-    assert rows["embeddings.weight"]["identical"] and round(rows["layer.0.dense.bias"]["cosine"], 6) == 0.981810
+    a, b = (tensors.scan_tensors(spark, str(demo / n)) for n in ("plain.safetensors", "spiced.safetensors"))
+    got = diff.compare(a, b)
+    rows = {r["norm"]: r for r in got.collect()}
+    assert {k: r["outcome"] for k, r in rows.items()} == {"soup.kernel": "compared", "bread.kernel": "compared", "salt.shift": "compared", "oven.kernel": "shape_mismatch", "tray": "only_a", "rack": "only_b"}
+    x, y = plain_values(demo / "plain.safetensors"), plain_values(demo / "spiced.safetensors")
+    both = ("soup.kernel", "bread.kernel", "salt.shift")
+    p, q = (np.concatenate([v[k] for k in both]) for v in (x, y))
+    for r, u, v in [*((rows[k], x[k], y[k]) for k in both), (diff.overall(got).first(), p, q)]:
+        want = [(u != v).mean(), np.abs(u - v).max(), np.abs(u - v).mean(), np.sqrt(((u - v) ** 2).mean()), np.linalg.norm(u - v) / np.linalg.norm(u), u @ v / np.linalg.norm(u) / np.linalg.norm(v)]
+        assert np.allclose([r[k] for k in ("changed_fraction", "max_abs_diff", "mean_abs", "rmse", "rel_l2", "cosine")], want, rtol=1e-12)
+    assert rows["soup.kernel"]["identical"] and [r["norm"] for r in diff.top_changed(got, 1).collect()] == [max(both, key=lambda k: np.linalg.norm(x[k] - y[k]) / np.linalg.norm(x[k]))]
     assert diff.sums(np.float32([1, 2, 3, 4]), np.float32([1, 2, 3, 5]))[:7] == (4, 3, 4, 0, 1.0, 1.0, 1.0)
     n = np.float32([np.nan, np.inf, np.inf, 1, np.nan])
     assert diff.sums(n, np.float32([np.nan, np.inf, -np.inf, np.nan, 2]))[:4] == (5, 2, 0, 3)
     with pytest.raises(ValueError, match="after prefix stripping"):
-        diff.matched(a, b, ("embeddings.", "pooler."))
+        diff.matched(a, b, ("soup.", "bread."))
 
 
 def test_changed_file_is_refused(spark, tmp_path):
@@ -191,24 +211,120 @@ def test_changed_file_is_refused(spark, tmp_path):
         stats.summaries(table).collect()
 
 
-def test_data_source_pushes_names(spark, demo):
+def test_data_source_reads_names_that_are_asked_for(spark, demo):
     tensors.register(spark)
-    df = spark.read.format("tensorfile").option("path", str(demo / "tiny_q8_0.gguf")).option("mode", "chunks").load()
-    assert df.where("name = 'output_norm.weight'").count() == 1
-    assert {r["name"] for r in df.where("name like 'blk%'").select("name").collect()} == {"blk.0.attn_v.weight", "blk.0.ffn_up.weight"}
+    source = lambda **more: spark.read.format("tensorfile").options(path=f"{demo / 'blocks_q8_0.gguf'},{demo / 'plate.safetensors'}", mode="chunks", **more).load()
+    names = lambda df: {r["name"] for r in df.select("name").collect()}
+    assert names(source(name="lid.scale")) == {"lid.scale"} and names(source(contains="l")) == {"shelf.kernel", "lid.scale", "plate", "pantry.kernel"} and names(source(prefix="s")) == {"shelf.kernel"} and names(source(name="none")) == set()
+    df = source()
+    assert names(df.where("name like 's%'")) == {"shelf.kernel"}
+    whole = {(r["path"][-5:], r["name"]): codecs.decode(r["dtype"], bytes(r["raw"])) for r in df.collect()}
+    assert {k[1] for k in whole} == {"pantry.kernel", "shelf.kernel", "lid.scale", "plate", "cup"} and whole["nsors", "plate"].tolist() == [3, -1, 0, 0.5]
+    heads = spark.read.format("tensorfile").option("path", str(demo / "plate.safetensors")).load()
+    assert [r["name"] for r in heads.orderBy("tensor_pos").collect()] == ["cup", "plate"]
+
+
+def test_metadata_and_totals(spark, demo):
+    own = tensors.scan_metadata(spark, str(demo / "blocks_q4_0.gguf"))
+    assert tensors.metadata_value(own, "general.alignment").select("value_type", "value_repr").first() == ("u32", "128")
+    dishes = tensors.metadata_value(own, "demo.weights").first()
+    assert (dishes["element_type"], dishes["arr_len"], dishes["preview"]) == ("f32", 12, ["0", "0.5", "1", "1.5", "2", "2.5", "3", "3.5"])
+    assert tensors.metadata_value(own, "none").count() == 0
+    totals = {r["type_name"]: tuple(r)[1:] for r in tensors.type_totals(tensors.scan_tensors(spark, str(demo / "blocks_q4_0.gguf"))).collect()}
+    assert totals == {"Q4_0": (1, 576, 576 // 32 * 18), "F16": (1, 384, 768), "Q6_K": (1, 1024, 840), "F32": (1, 32, 128)}
+
+
+AWKWARD = [np.zeros(32), np.r_[1.0, np.zeros(31)], np.r_[-3.0, 3.0, np.zeros(30)], np.full(32, 1e-6), np.full(32, 1e-9), np.full(32, 3e38), np.full(32, 6.6e6), np.r_[np.nan, np.ones(31)], np.r_[np.inf, np.ones(31)], np.arange(32) - 15.5, np.r_[7.9, -8.0, np.zeros(30)], np.full(32, np.nan)]
+
+
+@pytest.mark.parametrize("kind", ["Q8_0", "Q4_0"])
+def test_quantized_columns_are_the_codec(spark, kind):
+    r = np.random.default_rng(7)
+    blocks = [np.float32(b) for b in AWKWARD] + list(r.normal(0, 1, (200, 32)).astype(np.float32)) + list((r.normal(0, 1, (50, 32)) * 10.0 ** r.integers(-12, 12, (50, 1))).astype(np.float32))
+    rows = [("t", k, [float(v) for v in np.concatenate(blocks[2 * k : 2 * k + 2])]) for k in range(len(blocks) // 2)]
+    got = tables.quantized(spark.createDataFrame(rows, "tensor string, row long, x array<float>"), kind).orderBy("row", "pos").collect()
+    x = np.concatenate(blocks[: 2 * len(rows)])
+    want = codecs.decode(kind, codecs.encode(kind, x))
+    assert np.array_equal(np.float32([g["y"] for g in got]), want, equal_nan=True)
+
+
+def test_encoded_columns_are_the_codec(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([codecs.decode("F16", np.arange(65536, dtype="<u2").tobytes())[::17], np.float32([0, 65504, 65519.99, 65520, 1e-8, 2.98e-8, 2.99e-8, 6e-5, 3.39e38, 3.4e38, np.inf, -np.inf, np.nan]), (r.normal(0, 1, 2000) * 10.0 ** r.integers(-40, 38, 2000)).astype(np.float32)])
+    x = x[(np.abs(x) >= 2.0**-126) | (x == 0) | np.isnan(x)]
+    f = __import__("pyspark").sql.functions
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k long, x float").select("k", codecs.f16_bits(f.col("x")).alias("a"), codecs.bf16_bits(f.col("x")).alias("b"), codecs.f16_rounded(f.col("x")).alias("c"), codecs.bf16_rounded(f.col("x")).alias("d"))
+    got = df.orderBy("k").toPandas()
+    for kind, bits, value in (("F16", "a", "c"), ("BF16", "b", "d")):
+        want = np.frombuffer(codecs.encode(kind, x), "<u2").astype(int)
+        real = ~np.isnan(x) & ~((x == 0) & np.signbit(x))
+        assert np.array_equal(got[bits].to_numpy()[real] & 0x7FFF, want[real] & 0x7FFF)
+        assert np.array_equal(got[value].to_numpy(np.float32), codecs.decode(kind, want.astype("<u2").tobytes()), equal_nan=True)
+
+
+def test_medians_are_exact(spark):
+    r = np.random.default_rng(9)
+    norms = {"a": r.normal(10, 3, 5001), "b": r.normal(10, 3, 4000), "c": np.ones(3000), "d": np.r_[1.0, 2.0], "e": np.r_[5.0], "f": r.integers(0, 4, 3000).astype(float)}
+    df = spark.createDataFrame([(k, i, False, float(v)) for k, own in norms.items() for i, v in enumerate(own)] + [("g", 0, True, 0.0), ("a", -1, True, 0.0)], "t string, row long, dead boolean, norm double").repartition(5)
+    for accuracy in (100, 10_000):
+        got = {x["t"]: x for x in health.medians(df, ["t"], accuracy).collect()}
+        assert {k: got[k]["median"] for k in norms} == {k: float(np.median(v)) for k, v in norms.items()}
+        assert got["g"]["median"] is None and (got["a"]["n_rows"], got["a"]["n_dead"], got["a"]["n_live"]) == (5002, 1, 5001)
+
+
+def test_shards_refuse_what_is_no_matrix(spark, tmp_path):
+    pa = __import__("pyarrow")
+    for bad in ([[1.0, 2.0], None, [3.0, 4.0]], [[1.0, 2.0], [1.0], [1.0, 2.0, 3.0]], [[1.0, None]]):
+        with pytest.raises(ValueError, match="can't (make|be written)"):
+            shards.matrix(pa.array(bad, pa.list_(pa.float32())))
+        df = spark.createDataFrame([(k, 0, b) for k, b in enumerate(bad)], "at long, shard long, values array<float>").coalesce(1)
+        for write in (shards.write_shards, shards.write_numbered):
+            with pytest.raises(Exception):  # noqa: B017
+                write(df, f"{tmp_path}/{write.__name__}{len(bad)}").count()
+    with pytest.raises(ValueError, match="width 3"):
+        shards.matrix(pa.array([[1.0, 2.0]], pa.list_(pa.float32())), 3)
+    with pytest.raises(Exception):  # noqa: B017
+        shards.write_numbered(spark.createDataFrame([(1, 0, [1.0]), (1, 0, [2.0])], "at long, shard long, values array<float>"), f"{tmp_path}/twice").count()
+
+
+def test_dump_is_what_the_file_holds(spark, demo, tmp_path):
+    manifest = {r["name"]: r for r in shards.dump(tensors.scan_tensors(spark, str(demo / "plain.safetensors")), f"{tmp_path}/out").collect()}
+    for name, want in plain_values(demo / "plain.safetensors").items():
+        got = np.concatenate([np.fromfile(p["file"].removeprefix("file:"), "<f4") for p in manifest[name]["parts"]])
+        assert np.array_equal(got, want) and abs(manifest[name]["mean"] - want.mean()) < 1e-12 and manifest[name]["decoded"]
+    skipped = {r["name"]: r for r in shards.dump(tensors.scan_tensors(spark, str(demo / "blocks_q8_0.gguf")), f"{tmp_path}/blocks").collect()}["jar.kernel"]
+    assert not skipped["decoded"] and skipped["parts"] is None and skipped["count"] is None
 
 
 def test_cli(spark, demo, capsys):
-    assert cli.main(["inspect", str(demo / "tiny.safetensors")]) == 0
-    assert "Total parameters (stored tensor elements): 8" in capsys.readouterr().out
-    assert cli.main(["health", str(demo / "sick.safetensors")], spark) == 2
-    assert "Checked 8 tensors, skipped 0: 1 errors, 7 warnings, 1 info" in capsys.readouterr().out
-    assert cli.main(["stats", str(demo / "tiny.safetensors"), "--histogram"], spark) == 0
-    assert "(all decoded)" in capsys.readouterr().out
-    assert cli.main(["diff", str(demo / "encoder.safetensors"), str(demo / "encoder_finetuned.safetensors")], spark) == 0
-    assert "Overall (1568 compared elements): changed 64.29%, rel_l2 4.010e-2, cosine 0.999196" in capsys.readouterr().out
-    assert cli.main(["stats", str(demo / "none")], spark) == 1
+    def said(*args, status=0):
+        assert cli.main([str(x) for x in args], spark) == status
+        return capsys.readouterr().out
+
+    plate = demo / "plate.safetensors"
+    assert said("inspect", plate).split("\n") == [
+        f"File: {plate}", "Format: safetensors", "Header: 152 bytes; tensor data begins at byte 160", 'Metadata: {"made":"by rule"}',
+        '"cup": dtype=F32 shape=[3] data_offset=16 file_offset=176 size=12 bytes elements=3', '"plate": dtype=F32 shape=[2, 2] data_offset=0 file_offset=160 size=16 bytes elements=4',
+        "Tensors: 2", "Types: F32 x2 (7 elements)", "Total parameters (stored tensor elements): 7", "",
+    ]
+    faults = said("health", demo / "faults.safetensors", status=2)
+    assert "Checked 8 tensors, skipped 0: 1 errors, 7 warnings, 1 info" in faults and 'WARN  "thin.kernel" [sparse] 66.7% of values are exactly zero (WARN above 50.0%)' in faults
+    assert 'WARN  "empty.kernel" [dead-rows] 2 of 12 rows are all zero (16.7%; WARN above 1.0%): rows 1, 8' in faults
+    assert "Checked 1 tensors" in said("health", demo / "faults.safetensors", "--filter", "thin") and said("health", demo / "faults.safetensors", "--filter", "thin", "--strict", status=2)
+    blocks = said("health", demo / "blocks_q8_0.gguf")
+    assert 'SKIP  "jar.kernel" [not-decoded] dtype Q6_K is not decoded' in blocks and "Checked 3 tensors, skipped 1: 0 errors, 0 warnings, 0 info" in blocks
+    table = said("stats", plate, "--histogram", "--bins", "2")
+    assert f"File: {plate} (safetensors, 2 tensors); kernels: vectorised" in table and '"plate"             F32           4   6.2500e-1    1.4737e0   -1.0000e0    3.0000e0  25.00%     0     0' in table
+    assert "Histogram of \"cup\" (finite values):" in table and "(all decoded)" in table
+    assert "(safetensors, 1 tensors)" in said("stats", plate, "--filter", "cup")
+    out = said("diff", demo / "plain.safetensors", demo / "spiced.safetensors", "--top", 1)
+    assert "Matched by name: 4; compared: 3; shape mismatches: 1; not decoded: 0; only in A: 1; only in B: 1" in out and "Identical: 1; changed: 2" in out and "(showing 1 of 2)" in out and "Overall (848 compared elements)" in out
+    assert 'Shape mismatch: "kernel": [10, 6] vs [6, 10]' in said("diff", demo / "plain.safetensors", demo / "spiced.safetensors", "--strip-prefix", "oven.")
+    one, two = demo / "one.safetensors", demo / "two.safetensors"
+    for path, last in ((one, np.nan), (two, 2.0)):
+        path.write_bytes(writers.safetensors({}, [writers.tensor("x", "F32", [3], [1, 2, last])]))
+    assert "  ^ 1 positions are NaN/Inf on one side only" in said("diff", one, two)
+    assert said("stats", demo / "none", status=1) == ""
     with pytest.raises(SystemExit) as e:
         cli.main(["stats", "x", "--bins", "0"])
     assert e.value.code == 2
-    assert json.loads(json.dumps("done")) == "done"

@@ -74,7 +74,7 @@ def encode(dtype: str, x: np.ndarray) -> bytes:
         if dtype == "Q4_0":
             out = np.zeros(len(rows), _Q4)
             top = rows[np.arange(len(rows)), np.argmax(np.nan_to_num(np.abs(rows), nan=-1.0), axis=1)]
-            d = (top / np.float32(-8)).astype(np.float32)
+            d = (np.where(np.isnan(top), np.float32(0), top) / np.float32(-8)).astype(np.float32)
             code = np.clip(np.trunc(np.nan_to_num(rows * _inverse(d)[:, None] + np.float32(8.5))), -128, 15).astype(np.int64) & 255
             out["d"], out["q"] = d.astype("<f2"), (code[:, :16] | (code[:, 16:] << 4)).astype(np.uint8)
             return out.tobytes()
@@ -91,6 +91,50 @@ def f16_value(bits: Column) -> Column:
     return F.when(exponent == 31, special).when(exponent == 0, small).otherwise(normal).cast("float")
 
 
+def _rounded(x: Column, digits: int, least: int, most: float) -> Column:
+    """A float rounded (ties to even) to so many binary digits after the first; none finer than 2^(least - digits); infinite beyond most."""
+    size = F.abs(x.cast("double"))
+    real = (size > 0) & (size < float("inf"))
+    power = F.greatest(F.floor(F.log2(F.when(real, size).otherwise(F.lit(1.0)))), F.lit(least)).cast("double")
+    step = F.pow(F.lit(2.0), power - digits)
+    near = F.rint(size / step) * step
+    out = F.when(near > most, F.lit(float("inf"))).otherwise(near)
+    return F.when(real, F.when(x < 0, -out).otherwise(out)).otherwise(x.cast("double")).cast("float")
+
+
+def f16_rounded(x: Column) -> Column:
+    """The half-precision number next to a float, as a float."""
+    return _rounded(x, 10, -14, 65504.0)
+
+
+def bf16_rounded(x: Column) -> Column:
+    """The bfloat16 next to a float, as a float."""
+    return _rounded(x, 7, -126, 3.3895313892515355e38)
+
+
+def _bits(x: Column, digits: int, bias: int, top: int) -> Column:
+    """The bit pattern of a number that the format holds; zero without its sign, NaN the quiet one."""
+    size = F.abs(x.cast("double"))
+    real = (size > 0) & (size < float("inf"))
+    power = F.floor(F.log2(F.when(real, size).otherwise(F.lit(1.0)))).cast("double")
+    small = F.round(size / F.pow(F.lit(2.0), F.lit(1.0 - bias - digits)))
+    normal = (power + bias) * (1 << digits) + F.round((size / F.pow(F.lit(2.0), power) - 1) * (1 << digits))
+    sign = F.when(x < 0, 1 << (digits + top.bit_length())).otherwise(0)
+    out = F.when(power < 1 - bias, small).otherwise(normal)
+    out = F.when(F.isnan(x), F.lit(float(top * (1 << digits) + (1 << (digits - 1))))).when(size == float("inf"), F.lit(float(top * (1 << digits)))).when(size == 0, F.lit(0.0)).otherwise(out)
+    return out.cast("long") + sign
+
+
+def f16_bits(x: Column) -> Column:
+    """The half-precision bit pattern of a float, without Python."""
+    return _bits(f16_rounded(x), 10, 15, 31)
+
+
+def bf16_bits(x: Column) -> Column:
+    """The bfloat16 bit pattern of a float, without Python."""
+    return _bits(bf16_rounded(x), 7, 127, 255)
+
+
 def bf16_value(bits: Column) -> Column:
     """The float of a bfloat16 bit pattern, without Python."""
     bits = bits.cast("int")

@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.tensors import JOB, SPAN, Payload, dealt
+from weft.operators.stats import NODE, tree
+from weft.sources.tensors import SPAN, Payload, dealt
 
+#: Values of both sides that are compared at once.
+PIECE = 1 << 15
 SUMS = ["elements", "equal", "finite_pairs", "nonfinite_mismatch", "max_abs_diff", "sum_abs", "sum_sq", "sum_aa", "sum_bb", "sum_ab"]
 
 
@@ -66,15 +69,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files = Payload()
     types = [pa.string(), pa.int64(), *[pa.int64()] * 4, *[pa.float64()] * 6]
     for batch in batches:
+        rows = []
         for norm, pa_, da, oa, sa, ca, pb, db, ob, sb, cb, start, n in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
-            x, y, rows = files.values(pa_, da, oa, sa, ca, start, n), files.values(pb, db, ob, sb, cb, start, n), []
-            for at in range(0, n, JOB):
-                acc = _ZERO
-                for k in range(at, min(at + JOB, n), 4096):
-                    to = min(k + 4096, at + JOB, n)
-                    acc = _merge(acc, sums(x[k:to], y[k:to]))
-                rows.append((norm, (start + at) // JOB, *acc))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["norm", "job", *SUMS])
+            acc = _ZERO
+            for at in range(0, n, PIECE):
+                m = min(PIECE, n - at)
+                acc = _merge(acc, sums(files.values(pa_, da, oa, sa, ca, start + at, m), files.values(pb, db, ob, sb, cb, start + at, m)))
+            rows.append((norm, start // SPAN, *acc))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["norm", "span", *SUMS])
     files.close()
 
 
@@ -82,8 +84,7 @@ def folded(parts: DataFrame, by: list[str], order: str) -> DataFrame:
     """Accumulators of groups, their parts added in order."""
     start = F.struct(*[F.lit(v).cast("long" if k < 4 else "double").alias(n) for k, (n, v) in enumerate(zip(SUMS, _ZERO, strict=True))])
     step = lambda acc, x: F.struct(*[(F.greatest(acc[n], x[n]) if n == "max_abs_diff" else acc[n] + x[n]).alias(n) for n in SUMS])
-    got = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *SUMS))).alias("parts"))
-    return got.select(*by, F.aggregate("parts", start, step).alias("s")).select(*by, "s.*")
+    return tree(parts, by, order, SUMS, start, step)
 
 
 def metrics(df: DataFrame) -> DataFrame:
@@ -104,9 +105,9 @@ def compare(a: DataFrame, b: DataFrame, prefixes: tuple[str, ...] = ()) -> DataF
     some = pairs.where("outcome = 'compared' and a_elements > 0")
     cut = some.select("norm", *[f"{s}_{c}" for s in "ab" for c in ("path", "dtype", "file_offset", "file_size", "changed")], "a_elements", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a_elements") - 1, F.lit(SPAN).cast("long"))).alias("start"))
     cut = cut.withColumn("n", F.least(F.lit(SPAN).cast("long"), F.col("a_elements") - F.col("start"))).drop("a_elements")
-    cut = dealt(cut, "norm", "start")
+    cut = dealt(cut, a)
     kinds = ", ".join(f"{n} {'long' if k < 4 else 'double'}" for k, n in enumerate(SUMS))
-    got = folded(cut.mapInArrow(_pairs, f"norm string, job long, {kinds}"), ["norm"], "job")
+    got = folded(cut.mapInArrow(_pairs, f"norm string, span long, {kinds}"), ["norm"], "span")
     out = pairs.join(got, "norm", "left")
     for n in SUMS:
         out = out.withColumn(n, F.when(F.col("outcome") == "compared", F.coalesce(n, F.lit(0))))
@@ -114,9 +115,12 @@ def compare(a: DataFrame, b: DataFrame, prefixes: tuple[str, ...] = ()) -> DataF
 
 
 def overall(compared: DataFrame) -> DataFrame:
-    """Metrics of all compared pairs together, in the order of A."""
-    own = compared.where("outcome = 'compared'").select(F.lit(1).alias("all"), F.col("a_tensor_pos").alias("at"), *SUMS)
-    return metrics(folded(own, ["all"], "at").drop("all"))
+    """Metrics of all compared pairs together: by groups of names, in the order of names, so the bits are the same for one file and for many shards."""
+    own = compared.where("outcome = 'compared'").select(F.pmod(F.xxhash64("norm"), F.lit(NODE)).alias("group"), "norm", *SUMS)
+    start = F.struct(*[F.lit(v).cast("long" if k < 4 else "double").alias(n) for k, (n, v) in enumerate(zip(SUMS, _ZERO, strict=True))])
+    step = lambda acc, x: F.struct(*[(F.greatest(acc[n], x[n]) if n == "max_abs_diff" else acc[n] + x[n]).alias(n) for n in SUMS])
+    groups = own.groupBy("group").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("norm", *SUMS))), start, step).alias("s")).select("group", "s.*")
+    return metrics(folded(groups.withColumn("all", F.lit(1)), ["all"], "group").drop("all"))
 
 
 def top_changed(compared: DataFrame, top: int = 20) -> DataFrame:

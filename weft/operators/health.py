@@ -14,6 +14,8 @@ from weft.operators.stats import KEY, fold, summarize
 from weft.sources.tensors import JOB, Payload, spans
 
 F16_MAX, LISTED = 65504.0, 5
+#: Of the sketch that bounds a median's place.
+ACCURACY = 10_000
 SEVERITIES = ("INFO", "WARN", "ERROR")
 
 
@@ -52,12 +54,33 @@ def row_facts(tensors: DataFrame) -> DataFrame:
     return spans(tensors, "rows").mapInArrow(_row_facts, "path string, tensor_pos int, row long, dead boolean, norm double")
 
 
+def medians(rows: DataFrame, by: list[str], accuracy: int = ACCURACY) -> DataFrame:
+    """by, n_rows, n_dead, n_live and the exact median norm of live rows (null without any).
+
+    A sketch of fixed size bounds the median's place to within 2 / accuracy of the rows; of the norms between the bounds the distinct ones are counted, those below are
+    only counted, so no buffer holds all norms of a tensor."""
+    live, edge = F.when(~F.col("dead"), F.col("norm")), 2.0 / accuracy
+    base = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if("dead").alias("n_dead"), F.count(live).alias("n_live"), F.percentile_approx(live, [0.5 - edge, 0.5 + edge], accuracy).alias("cut"))
+    low, high = F.col("cut")[0], F.col("cut")[1]
+    near = rows.where("not dead").join(base.select(*by, "cut"), by).where(F.col("norm") <= high)
+    counted = near.groupBy(*by, F.when(F.col("norm") >= low, F.col("norm")).alias("value")).agg(F.count("*").alias("n"))
+    steps = counted.groupBy(*by).agg(F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("below"), F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n")))).alias("steps"))
+
+    def ranked(rank: Column) -> Column:
+        """The norm of a rank (from 0): the first step whose running count goes beyond it."""
+        start = F.struct(F.coalesce("below", F.lit(0)).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
+        return F.aggregate("steps", start, lambda acc, s: F.struct((acc["seen"] + s["n"]).alias("seen"), F.when(acc["seen"] <= rank, s["value"]).otherwise(acc["value"]).alias("value")))["value"]
+
+    last = F.col("n_live") - 1
+    middle = (ranked(F.floor(last / 2)) + ranked(F.ceil(last / 2))) / 2
+    return base.join(steps, by, "left").withColumn("median", middle).drop("cut", "below", "steps")
+
+
 def row_summary(rows: DataFrame, by: list[str], ratio: float) -> DataFrame:
     """n_rows, n_dead, first dead rows, median norm of live rows, outliers and the first of them with their ratio. rows: by, row, dead, norm.
 
     Only the first LISTED rows of a list are gathered, so a tensor's rows never meet in one value."""
-    live = F.when(~F.col("dead"), F.col("norm"))
-    base = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if("dead").alias("n_dead"), F.count(live).alias("n_live"), F.percentile(live, 0.5).alias("median"))
+    base = medians(rows, by)
     joined = rows.join(base.select(*by, "n_live", "median"), by)
     low = F.col("median") / ratio if ratio else F.lit(float("inf"))
     out = ~F.col("dead") & (F.col("n_live") >= 2) & (F.col("median") > 0) & ((F.col("norm") < low) | (F.col("norm") > F.col("median") * ratio))
@@ -101,6 +124,14 @@ def check(summaries_: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return findings(summaries_.where("dtype is not null").join(rows, KEY, "left"), t).orderBy("path", "tensor_pos", "ord")
 
 
+def status(found: DataFrame) -> DataFrame:
+    """One row: errors, warnings, infos, and the exit status without and with --strict."""
+    many = [F.count_if(F.col("severity") == s) for s in ("ERROR", "WARN", "INFO")]
+    out = found.agg(*[m.alias(n) for m, n in zip(many, ("errors", "warnings", "infos"), strict=True)])
+    bad = lambda on: F.when(on, 2).otherwise(0).cast("long")
+    return out.withColumn("status", bad(F.col("errors") > 0)).withColumn("strict_status", bad(F.col("errors") + F.col("warnings") > 0))
+
+
 def counts(found: DataFrame) -> DataFrame:
     """severity, n for all severities."""
     return found.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string").join(found.groupBy("severity").agg(F.count("*").alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -1,6 +1,6 @@
 """Mergeable summaries of tensors, and histograms.
 
-Tasks fold the chunks of a job in order; jobs are folded in order per tensor, tensors in order to the total.
+Tasks fold the chunks of a job in order and the jobs of a span; spans are folded in order per tensor, by nodes of NODE, tensors in order to the total.
 So results carry the same bits for any number of tasks and partitions.
 """
 
@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.tensors import CHUNK, JOB, Payload, spans
+from weft.sources.tensors import CHUNK, JOB, SPAN, Payload, spans
 
+#: Parts that are folded at once.
+NODE = 1024
 KEY = ["path", "tensor_pos"]
 STATE = "count long, finite long, nan long, inf long, zeros long, min float, max float, mean double, m2 double"
 _NAMES = [x.split()[0] for x in STATE.split(", ")]
@@ -31,24 +33,34 @@ def merge(a: tuple, b: tuple) -> tuple:
     return (a[0] + b[0], n + m, a[2] + b[2], a[3] + b[3], a[4] + b[4], min(a[5], b[5]), max(a[6], b[6]), mean, m2)
 
 
+def _chunks(x: np.ndarray) -> list[tuple]:
+    """A summary of each row of x."""
+    k, m = x.shape
+    wide = x.astype(np.float64)
+    total = wide.sum(axis=1)
+    n, nan, inf = np.full(k, m), np.zeros(k, np.int64), np.zeros(k, np.int64)
+    if np.isfinite(total).all():  # so is every value: sums of floats don't overflow a double
+        low, high = x.min(axis=1), x.max(axis=1)
+        mean = total / m
+        wide -= mean[:, None]
+    else:
+        fine = np.isfinite(x)
+        n, nan = fine.sum(axis=1), np.isnan(x).sum(axis=1)
+        inf = m - n - nan
+        low, high = np.where(fine, x, np.inf).min(axis=1), np.where(fine, x, -np.inf).max(axis=1)
+        wide = np.where(fine, wide, 0.0)
+        mean = wide.sum(axis=1) / np.maximum(n, 1)
+        wide = np.where(fine, wide - mean[:, None], 0.0)
+    m2 = np.einsum("ij,ij->i", wide, wide)
+    zeros = np.zeros(k, np.int64) if np.count_nonzero(x) == x.size else (x == 0).sum(axis=1)
+    return list(zip([m] * k, n.tolist(), nan.tolist(), inf.tolist(), zeros.tolist(), low.tolist(), high.tolist(), mean.tolist(), m2.tolist(), strict=True))
+
+
 def summarize(x: np.ndarray) -> list[tuple]:
     """A summary of each CHUNK of values, in order."""
-    out = []
-    for at in range(0, len(x), CHUNK):
-        part = x[at : at + CHUNK]
-        fine = np.isfinite(part)
-        own = part if fine.all() else part[fine]
-        n = len(own)
-        if n:
-            wide = own.astype(np.float64)
-            mean = float(wide.sum() / n)
-            dev = wide - mean
-            moments = (float(own.min()), float(own.max()), mean, float(np.dot(dev, dev)))
-        else:
-            moments = (float("inf"), float("-inf"), 0.0, 0.0)
-        nan = int(np.isnan(part).sum()) if n < len(part) else 0
-        out.append((len(part), n, nan, len(part) - n - nan, n - int(np.count_nonzero(own)), *moments))
-    return out
+    whole = len(x) // CHUNK * CHUNK
+    out = _chunks(x[:whole].reshape(-1, CHUNK)) if whole else []
+    return out + (_chunks(x[whole:].reshape(1, -1)) if whole < len(x) else [])
 
 
 def fold(parts: list[tuple]) -> tuple:
@@ -58,15 +70,18 @@ def fold(parts: list[tuple]) -> tuple:
     return state
 
 
-def _jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary per span: its chunks are folded by job, and its jobs in order."""
     types = [pa.string(), pa.int32(), pa.int64(), *[pa.int64()] * 5, pa.float32(), pa.float32(), pa.float64(), pa.float64()]
     files = Payload()
     for batch in batches:
+        rows = []
         for path, pos, dtype, offset, size, changed, start, n in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
-            x, rows = files.values(path, dtype, offset, size, changed, start, n), []
-            for at in range(0, n, JOB):
-                rows.append((path, pos, (start + at) // JOB, *fold(summarize(x[at : at + JOB]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[*KEY, "job", *_NAMES])
+            jobs = []
+            for at in range(0, n, JOB):  # decoded by job, so that the values stay in the processor's cache
+                jobs.append(fold(summarize(files.values(path, dtype, offset, size, changed, start + at, min(JOB, n - at)))))
+            rows.append((path, pos, start // SPAN, *fold(jobs)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[*KEY, "span", *_NAMES])
     files.close()
 
 
@@ -82,11 +97,20 @@ def _merged(acc: Column, x: Column) -> Column:
     )
 
 
+def tree(parts: DataFrame, by: list[str], order: str, names: list[str], start: Column, step) -> DataFrame:
+    """One row per group, its parts folded by their order: first NODE neighbours at a time, then the nodes, so no array holds more parts than a node or a group's nodes."""
+
+    def level(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+        got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at, *names))).alias("parts"))
+        return got.select(*keys, F.aggregate("parts", start, step).alias("s")).select(*keys, "s.*")
+
+    return level(level(parts.withColumn("node", F.floor(F.col(order) / NODE)), [*by, "node"], order), by, "node")
+
+
 def folded(parts: DataFrame, by: list[str], order: str) -> DataFrame:
     """One summary per group, its parts folded by their order."""
     start = F.struct(*[F.lit(v).cast(x.split()[1]).alias(x.split()[0]) for v, x in zip(_START, STATE.split(", "), strict=True)])
-    got = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *_NAMES))).alias("parts"))
-    return got.select(*by, F.aggregate("parts", start, _merged).alias("s")).select(*by, "s.*")
+    return tree(parts, by, order, _NAMES, start, _merged)
 
 
 def derived(df: DataFrame) -> DataFrame:
@@ -101,8 +125,8 @@ def derived(df: DataFrame) -> DataFrame:
 
 def summaries(tensors: DataFrame) -> DataFrame:
     """tensors with their summaries; null ones where a type is not decoded, empty ones for empty tensors."""
-    jobs = spans(tensors).mapInArrow(_jobs, f"path string, tensor_pos int, job long, {STATE}")
-    got = tensors.join(folded(jobs, KEY, "job"), KEY, "left")
+    parts = spans(tensors).mapInArrow(_spans, f"path string, tensor_pos int, span long, {STATE}")
+    got = tensors.join(folded(parts, KEY, "span"), KEY, "left")
     for v, x in zip(_START, STATE.split(", "), strict=True):
         name, kind = x.split()
         got = got.withColumn(name, F.when(F.col("dtype").isNotNull(), F.coalesce(name, F.lit(v).cast(kind))))

@@ -1,4 +1,4 @@
-"""Text reports over collected small tables."""
+"""Text reports over collected small tables. The lines' forms are fixed values: other tools read them."""
 
 from __future__ import annotations
 
@@ -110,9 +110,9 @@ def message(f: Any, t: Any) -> str:
     if kind == "non-finite":
         return f"{f['nan']} NaN and {f['inf']} infinite values (none allowed)"
     if kind == "all-zero":
-        return f"all {f['count']} values are zero (untrained or a placeholder?)"
+        return f"all {f['count']} values are zero (never set?)"
     if kind == "constant":
-        return f"all {f['count']} values equal {plain(f['min'], np.float32)} (an initial value never trained?)"
+        return f"all {f['count']} values equal {plain(f['min'], np.float32)} (one value throughout)"
     if kind == "sparse":
         return f"{percent(f['zero_fraction'])} of values are exactly zero (WARN above {percent(t.max_zero_fraction)})"
     if kind == "large-magnitude":

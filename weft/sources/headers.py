@@ -14,7 +14,7 @@ MAX_HEADER, U64 = 100_000_000, 2**64 - 1
 
 
 class FormatError(ValueError):
-    """A file that breaks its format's rules."""
+    """A file that breaks its format's rules. The sentences below that name a rule are fixed values: reports quote them."""
 
 
 def _need(ok: bool, message: str) -> None:
@@ -211,7 +211,7 @@ def parse_gguf(head: bytes, size: int) -> Header:
     c = _Cursor(head, size)
     _need(c.take(4, "magic") == b"GGUF", "not a GGUF file (bad magic)")
     version = c.number("I", "version")
-    _need(version != 1, "GGUF v1 (2023) used 32-bit counts and is not supported; re-convert the model")
+    _need(version != 1, "GGUF v1 is not read: its counts have 32 bits; write the file anew as version 2 or 3")
     _need(int.from_bytes(version.to_bytes(4, "little"), "big") not in (1, 2, 3), "big-endian GGUF files are not supported")
     _need(version in (2, 3), f"unsupported GGUF version {version}")
     n_tensors, n_meta = c.number("Q", "tensor count"), c.number("Q", "metadata count")
@@ -241,7 +241,7 @@ def parse_gguf(head: bytes, size: int) -> Header:
         _need(n_dims <= MAX_DIMS, f"{said}: {n_dims} dimensions; ggml supports at most {MAX_DIMS}")
         dims = [c.number("Q", "tensor dimension") for _ in range(n_dims)]
         kind = c.number("I", "tensor type")
-        _need(kind not in REMOVED, f"{said}: ggml type {kind} ({REMOVED.get(kind)}) was removed from GGUF; current tools repack plain types at load time instead")
+        _need(kind not in REMOVED, f"{said}: ggml type {kind} ({REMOVED.get(kind)}) was removed from GGUF; write the tensor in a type that is still there")
         _need(kind in GGML_TYPES, f"{said}: unknown ggml type id {kind} (block size unknown)")
         infos.append((name, said, dims, GGML_TYPES[kind], c.number("Q", "tensor offset")))
     up = lambda x: -(-x // align) * align

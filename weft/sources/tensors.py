@@ -7,6 +7,7 @@ prunes the byte ranges that are read at all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 from typing import Any
 
@@ -14,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weft.functions.codecs import BLOCKS, byte_range, decode
 from weft.sources.headers import FormatError
 from weft.sources.storage import opened, read_header, stamp
 
-#: Values of a partial, of a job, and of a span (the unit that a task reads at once).
-CHUNK, JOB, SPAN = 4096, 65536, 1 << 22
+#: Values of a partial, of a job (what a task decodes at once), and of a span (the unit that is dealt to tasks); bytes that a task reads.
+CHUNK, JOB, SPAN, TASK = 4096, 65536, 1 << 20, 256 << 20
 
 _SHAPE = "array<decimal(20,0)>"
 TENSORS = f"path string, format string, tensor_pos int, name string, type_name string, dtype string, shape {_SHAPE}, dims {_SHAPE}, elements long, data_offset long, file_offset long, byte_len long, row_len long, n_rows long, file_size long, changed long"
@@ -82,9 +83,10 @@ def _table(rows, schema: str):
 scan_tensors, scan_files, scan_metadata = _table(tensor_rows, TENSORS), _table(file_rows, FILES), _table(metadata_rows, METADATA)
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows that stand for byte ranges, over all tasks of a shuffle; merged by their own small size few tasks would read all the bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+def dealt(ranges: DataFrame, tensors: DataFrame) -> DataFrame:
+    """Rows that stand for byte ranges of tensors, in turn over so many tasks that each reads about TASK bytes; merged by their own small size few tasks would read all of them."""
+    size = tensors.agg(F.sum("byte_len")).first()[0] or 0
+    return ranges.repartition(max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK)))
 
 
 def spans(tensors: DataFrame, unit: str = "elements") -> DataFrame:
@@ -98,7 +100,7 @@ def spans(tensors: DataFrame, unit: str = "elements") -> DataFrame:
         some = some.where("row_len > 0").withColumn("step", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(SPAN) / F.col("row_len"))))
         some = some.select(*own, "row_len", "n_rows", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.col("step"))).alias("start"))
         out = some.select(*own, "row_len", "start", F.least("step", F.col("n_rows") - F.col("start")).alias("n"))
-    return dealt(out, "path", "tensor_pos", "start")
+    return dealt(out, tensors)
 
 
 class Payload:
@@ -141,56 +143,75 @@ def chunks_of(tensors: DataFrame) -> DataFrame:
     return spans(tensors).mapInArrow(run, "path string, tensor_pos int, job long, chunk long, elem_start long, vals array<float>")
 
 
+def type_totals(tensors: DataFrame) -> DataFrame:
+    """type_name, tensors, elements, bytes of the tensors of each type."""
+    return tensors.groupBy("type_name").agg(F.count("*").alias("tensors"), F.sum("elements").alias("elements"), F.sum("byte_len").alias("bytes"))
+
+
+def metadata_value(metadata: DataFrame, key: str) -> DataFrame:
+    """path, value_type, value_repr, element_type, arr_len, preview of one key of each file (a key stands once in a file)."""
+    return metadata.where(F.col("key") == key).select("path", "value_type", "value_repr", "element_type", "arr_len", "preview")
+
+
 class _Part(InputPartition):
-    def __init__(self, rows: list[tuple]):
-        self.rows = rows
+    """Files, or one run of spans of a tensor (its row, first element and end)."""
+
+    def __init__(self, paths: list[str], row: tuple | None = None, start: int = 0, end: int = 0):
+        self.paths, self.row, self.start, self.end = paths, row, start, end
 
 
 class _Reader(DataSourceReader):
-    """Tensors or raw chunks of files; filters on name (=, in, contains, starts with) prune what is read."""
+    """Tensors or raw chunks of files; the options name, contains and prefix prune what is read by a tensor's name. Arrow batches, in partitions of files or of TASK bytes of a tensor.
 
-    def __init__(self, options: dict[str, str]):
-        self.paths, self.mode, self.tests = options["path"].split(","), options.get("mode", "tensors"), []
+    Filters aren't taken over from a query: Spark keeps a reader with them for later queries over the same DataFrame, which would miss rows."""
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if getattr(f, "attribute", None) == ("name",):
-                test = {EqualTo: lambda n, f=f: n == f.value, In: lambda n, f=f: n in f.value, StringContains: lambda n, f=f: f.value in n, StringStartsWith: lambda n, f=f: n.startswith(f.value)}.get(type(f))
-                self.tests += [test] if test else []
-            yield f
+    def __init__(self, options: dict[str, str]):
+        self.paths, self.mode, tests = options["path"].split(","), options.get("mode", "tensors"), []
+        if "name" in options:
+            tests.append(lambda n, own=options["name"]: n == own)
+        if "contains" in options:
+            tests.append(lambda n, own=options["contains"]: own in n)
+        if "prefix" in options:
+            tests.append(lambda n, own=options["prefix"]: n.startswith(own))
+        self.tests = tests
 
     def partitions(self):
         if self.mode == "tensors":
-            return [_Part([(p,)]) for p in self.paths]
-        jobs, held, out = [], 0, []
-        for path in self.paths:
-            for t in tensor_rows(path):
-                if t[5] and all(test(t[3]) for test in self.tests):
-                    for at in range(0, t[8], JOB):
-                        jobs.append((path, t[2], t[3], t[5], t[10], t[14], t[15], at, min(JOB, t[8] - at)))
-                        held += jobs[-1][-1]
-                        if held >= SPAN:
-                            out.append(_Part(jobs))
-                            jobs, held = [], 0
-        return [*out, _Part(jobs)]
+            return [_Part([p]) for p in self.paths]
+        out = []
+        with ThreadPoolExecutor(16) as pool:
+            for rows in pool.map(tensor_rows, self.paths):
+                for t in rows:
+                    if t[5] and t[8] and all(test(t[3]) for test in self.tests):
+                        per, width = BLOCKS[t[5]]
+                        step = max(SPAN, TASK // width * per // SPAN * SPAN)
+                        out += [_Part([t[0]], t, at, min(at + step, t[8])) for at in range(0, t[8], step)]
+        return out or [_Part([])]
 
     def read(self, partition):
         if self.mode == "tensors":
-            for (path,) in partition.rows:
+            for path in partition.paths:
                 yield from (t for t in tensor_rows(path) if all(test(t[3]) for test in self.tests))
             return
+        if partition.row is None:
+            return
+        path, _, pos, name, _, dtype, _, _, _, _, offset, _, _, _, size, changed = partition.row
+        per, width = BLOCKS[dtype]
         files = Payload()
-        for path, pos, name, dtype, offset, size, changed, at, n in partition.rows:
+        for at in range(partition.start, partition.end, JOB):
+            n = min(JOB, partition.end - at)
             raw = files.raw(path, dtype, offset, size, changed, at, n)
-            per, width = BLOCKS[dtype]
-            for k in range(0, n, CHUNK):
-                m = min(CHUNK, n - k)
-                yield path, pos, name, at // JOB, (at + k) // CHUNK, at + k, m, dtype, raw[k // per * width : (k + m) // per * width]
+            firsts = np.arange(0, n, CHUNK)
+            many = np.minimum(CHUNK, n - firsts)
+            k = len(firsts)
+            cells = [raw[a // per * width : (a + m) // per * width] for a, m in zip(firsts.tolist(), many.tolist(), strict=True)]
+            columns = [pa.array([path] * k), pa.array(np.full(k, pos, np.int32)), pa.array([name] * k), pa.array(np.full(k, at // JOB)), pa.array((firsts + at) // CHUNK), pa.array(firsts + at), pa.array(many.astype(np.int32)), pa.array([dtype] * k), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "tensor_pos", "name", "job_id", "chunk_id", "elem_start", "n", "dtype", "raw"])
         files.close()
 
 
 class TensorFileSource(DataSource):
-    """spark.read.format("tensorfile").option("path", "a,b").option("mode", "tensors" or "chunks")."""
+    """spark.read.format("tensorfile").option("path", "a,b").option("mode", "tensors" or "chunks").option("contains", part of a name)."""
 
     @classmethod
     def name(cls) -> str:
@@ -204,5 +225,4 @@ class TensorFileSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TensorFileSource)

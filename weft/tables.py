@@ -1,21 +1,31 @@
-"""Tensors that live in ordinary tables: the same operators as columns over (tensor, row, pos, x), without files or Python.
+"""Tensors that live in ordinary tables: the same operators as columns, without files or Python.
 
-SQL form of the chunk operators: built-in aggregates, so any number of values per tensor is combined on the map side.
+A table of values has (tensor, row, pos, x), a table of arrays has (tensor, row, x) with one array per row. What concerns a row, a block of a row or a
+pair of rows is folded in the row's array, so only one result per row is shuffled, if any; sums over tensors are combined on the map side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.health import F16_MAX, Thresholds
+from weft.functions.codecs import f16_rounded
+from weft.operators.diff import SUMS
+from weft.operators.health import Thresholds, row_summary
 from weft.operators.stats import bin_of
 
+BLOCK = 32
+
 
 def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def exploded(arrays: DataFrame) -> DataFrame:
+    """The values of a table of arrays."""
+    return arrays.select("tensor", "row", F.posexplode("x").alias("pos", "x"))
+
+
 def summary(values: DataFrame, *by: str) -> DataFrame:
     """count, finite, nan, inf, zeros, min, max, mean, std, rms, l2_norm, abs_max, zero_fraction by group."""
     x = F.col("x")
@@ -39,55 +49,63 @@ def histogram(values: DataFrame, bins: int) -> DataFrame:
     return every.join(counts, ["tensor", "bin"], "left").select("tensor", "bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def rows(values: DataFrame) -> DataFrame:
+def rows(arrays: DataFrame) -> DataFrame:
     """tensor, row, dead, norm."""
-    own = F.when(finite(F.col("x")), F.col("x").cast("double"))
-    return values.groupBy("tensor", "row").agg((F.count_if(F.col("x") == 0) == F.count("*")).alias("dead"), F.coalesce(F.sqrt(F.sum(own * own)), F.lit(0.0)).alias("norm"))
-
-
-def pairs(values: DataFrame, other: DataFrame) -> DataFrame:
-    """The accumulators of a comparison by tensor; both sides: tensor, row, pos, x."""
-    both = values.join(other.withColumnRenamed("x", "y"), ["tensor", "row", "pos"])
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    fine = finite(x) & finite(y)
-    same = x == y  # NaN equals NaN here
-    on = lambda v: F.when(fine, v)
-    total = lambda v: F.coalesce(F.sum(on(v)), F.lit(0.0))
-    d = x - y
-    return both.groupBy("tensor").agg(
-        F.count("*").alias("elements"), F.count_if(same).alias("equal"), F.count_if(fine).alias("finite_pairs"), F.count_if(~fine & ~same).alias("nonfinite_mismatch"),
-        F.coalesce(F.max(on(F.abs(d))), F.lit(0.0)).alias("max_abs_diff"), total(F.abs(d)).alias("sum_abs"), total(d * d).alias("sum_sq"), total(x * x).alias("sum_aa"), total(y * y).alias("sum_bb"), total(x * y).alias("sum_ab"),
-    )
+    squares = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + F.when(finite(v), v.cast("double") * v.cast("double")).otherwise(F.lit(0.0)))
+    return arrays.select("tensor", "row", F.forall("x", lambda v: v == 0).alias("dead"), F.sqrt(squares).alias("norm"))
 
 
-def half_scale(d: Column) -> Column:
-    """A float rounded to half precision (ties to even); of normal range."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(d))) - 10)
-    return (F.rint(d / step) * step).cast("float")
+def pairs(arrays: DataFrame, other: DataFrame) -> DataFrame:
+    """The accumulators of a comparison by tensor, over the rows that both have."""
+    both = arrays.join(other.withColumnRenamed("x", "y"), ["tensor", "row"])
+    zero = F.struct(*[F.lit(0).cast("long" if k < 4 else "double").alias(n) for k, n in enumerate(SUMS)])
 
+    def step(acc: Column, v: Column) -> Column:
+        x, y = v["x"].cast("double"), v["y"].cast("double")
+        fine, same, d = finite(x) & finite(y), x == y, x - y  # NaN equals NaN here
+        one = lambda on: on.cast("long")
+        more = {"elements": F.lit(1).cast("long"), "equal": one(same), "finite_pairs": one(fine), "nonfinite_mismatch": one(~fine & ~same), "sum_abs": F.abs(d), "sum_sq": d * d, "sum_aa": x * x, "sum_bb": y * y, "sum_ab": x * y}
+        cell = lambda n: acc[n] + (F.when(fine, more[n]).otherwise(F.lit(0.0)) if n.startswith("sum") else more[n])
+        return F.struct(*[(F.greatest(acc[n], F.when(fine, F.abs(d)).otherwise(F.lit(0.0))) if n == "max_abs_diff" else cell(n)).alias(n) for n in SUMS])
 
-def quantized(values: DataFrame, kind: str) -> DataFrame:
-    """values with code and y, what comes back from blocks of 32 along pos."""
-    block = Window.partitionBy("tensor", "row", F.floor(F.col("pos") / 32))
-    if kind == "Q8_0":
-        d = (F.max(F.abs("x")).over(block).cast("double") / 127).cast("float")
-    else:
-        d = (F.max_by("x", F.struct(F.abs("x"), -F.col("pos"))).over(block).cast("double") / -8).cast("float")
-    out = values.withColumn("d", d).withColumn("inv", (F.lit(1.0) / F.col("d").cast("double")).cast("float"))
-    scaled = (F.col("x") * F.col("inv")).cast("float")
-    if kind == "Q8_0":
-        code = F.signum("x") * F.floor(F.abs(scaled.cast("double")) + 0.5)
-        return out.withColumn("code", code.cast("long")).withColumn("y", (F.col("code").cast("float") * half_scale(F.col("d"))).cast("float"))
-    code = F.least(F.floor((scaled + F.lit(8.5).cast("float")).cast("float")), F.lit(15))
-    return out.withColumn("code", code.cast("long")).withColumn("y", ((F.col("code") - 8).cast("float") * half_scale(F.col("d"))).cast("float"))
+    own = both.select("tensor", F.aggregate(F.arrays_zip("x", "y"), zero, step).alias("s")).select("tensor", "s.*")
+    return own.groupBy("tensor").agg(*merged())
 
 
-def checked(values: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Summaries with what health.findings() needs of their rows."""
-    from weft.operators.health import row_summary
+def merged() -> list[Column]:
+    """Accumulators of several parts as one."""
+    return [(F.max(n) if n == "max_abs_diff" else F.sum(n)).alias(n) for n in SUMS]
 
-    own = row_summary(rows(values), ["tensor"], t.row_norm_ratio).withColumnRenamed("n_rows", "n_rows_seen")
-    return summary(values, "tensor").withColumn("dtype", F.lit("F32")).join(own, "tensor")
 
+def quantized(arrays: DataFrame, kind: str) -> DataFrame:
+    """tensor, row, pos, x, code and y, what comes back from blocks of 32 of a row (the last may be shorter)."""
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("x") - 1) / BLOCK), F.lit(0)).cast("int"))
+    real = lambda b: F.filter(b, lambda v: ~F.isnan(v))
 
-__all__ = ["F16_MAX", "checked", "finite", "histogram", "pairs", "quantized", "rows", "summary"]
+    def scale(b: Column) -> Column:
+        if kind == "Q8_0":
+            return (F.coalesce(F.array_max(F.transform(real(b), lambda v: F.abs(v))), F.lit(0.0)).cast("double") / 127).cast("float")
+        # The first of the largest, with its sign.
+        top = F.aggregate(real(b), F.lit(0.0).cast("float"), lambda acc, v: F.when(F.abs(v) > F.abs(acc), v).otherwise(acc))
+        return (top.cast("double") / -8).cast("float")
+
+    def one(v: Column, d: Column, inverse: Column) -> Column:
+        scaled = (v * inverse).cast("float")
+        if kind == "Q8_0":
+            code = F.signum(scaled.cast("double")) * F.floor(F.abs(scaled.cast("double")) + 0.5)
+            code = F.when(F.isnan(scaled), F.lit(0.0)).otherwise(F.least(F.greatest(code, F.lit(-128.0)), F.lit(127.0)))
+            return F.struct(v.alias("x"), code.cast("long").alias("code"), (code.cast("float") * f16_rounded(d)).cast("float").alias("y"))
+        code = F.when(F.isnan(scaled), F.lit(0.0)).otherwise(F.least(F.floor((scaled + F.lit(8.5).cast("float")).cast("float").cast("double")).cast("double"), F.lit(15.0)))
+        return F.struct(v.alias("x"), code.cast("long").alias("code"), ((code - 8).cast("float") * f16_rounded(d)).cast("float").alias("y"))
+
+    blocks = F.transform(starts, lambda k: F.slice("x", k * BLOCK + 1, BLOCK))
+    sized = F.transform(blocks, lambda b: F.struct(b.alias("b"), scale(b).alias("d")))
+    ready = F.transform(sized, lambda s: F.struct(s["b"].alias("b"), s["d"].alias("d"), F.when(s["d"] == 0, F.lit(0.0)).otherwise(F.lit(1.0) / F.when(s["d"] == 0, F.lit(1.0)).otherwise(s["d"].cast("double"))).cast("float").alias("i")))
+    cells = F.flatten(F.transform(ready, lambda s: F.transform(s["b"], lambda v: one(v, s["d"], s["i"]))))
+    return arrays.select("tensor", "row", F.posexplode(cells).alias("pos", "c")).select("tensor", "row", "pos", "c.*")
+
+
+def checked(arrays: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Summaries with what health.findings() needs of their rows."""
+    own = row_summary(rows(arrays), ["tensor"], t.row_norm_ratio).withColumnRenamed("n_rows", "n_rows_seen")
+    return summary(exploded(arrays), "tensor").withColumn("dtype", F.lit("F32")).join(own, "tensor")
