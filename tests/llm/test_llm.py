@@ -12,7 +12,6 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from weft.llm import _shared, chat_format, decontaminate, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc_zip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
@@ -106,7 +105,7 @@ def test_quality_measures_and_policies(spark, docs):
     assert quality.accepted(docs.limit(0)).count() == 0
 
 
-def test_decontamination_matches_brute_force(spark, docs):
+def test_decontamination_matches_brute_force(spark, docs, monkeypatch):
     item = re.split(" ", docs.where("doc_id = 4").first()["text"])[:20]
     bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (22, "one"), (3, ""), (4, None), (5, "a b c"), (None, "é")], "item_id long, text string")
 
@@ -126,10 +125,28 @@ def test_decontamination_matches_brute_force(spark, docs):
     got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.clean(docs, bench).count() == sum(not x[4] for x in want)
+    monkeypatch.setattr(decontaminate, "MOST", 10)  # so that the shingles take several bitmaps and scans
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_a_bitmap_lets_few_others_pass(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = np.arange(20_000) // 100
+    hashes = r.integers(0, 2**64, 20_000, dtype=np.uint64)
+    own, _ = _shared.windows(hashes, rows, 3)
+    table = spark.createDataFrame([(3, int(x)) for x in own.view(np.int64)], "width int, shingle long")
+    (one,) = decontaminate.known(table)
+    ((width, got, _),) = one.value.found(hashes, rows)
+    assert width == 3 and set(got) == set(own)
+    ((_, got, _),) = one.value.found(r.integers(0, 2**64, 100_000, dtype=np.uint64), np.zeros(100_000, np.int64))
+    assert len(got) < 800
+
+
 def _der(tag, body):
     return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
 
@@ -206,12 +223,23 @@ def test_secrets_at_any_place_and_layer(spark):
     assert secrets.redact(docs).first()["text"] == "x MINIO-[SECRET] y"
 
 
-def test_mixing_fits_marginals(spark, docs):
+def test_mixing_fits_marginals(spark, docs, monkeypatch):
     cells = spark.createDataFrame([(f"s{i}", lang, t, 10 + 7 * i + len(t), 1) for i in range(5) for lang in ("en", "de", "es", "fr") for t in mixing.TOPICS], "source string, lang string, topic string, n_tokens long, n_docs long")
-    got = mixing.rake(cells, mixing.targets(), ("source",), 30).toPandas()
+    raked = mixing.rake(cells, mixing.targets(), ("source",))
+    got = raked.toPandas()
     assert abs(got.weight.sum() - 1) < 1e-6
     for dim, goal in (("lang", mixing.LANGS), ("topic", mixing.TOPICS)):
         assert all(abs(got[got[dim] == k].weight.sum() - v) < 1e-3 for k, v in goal.items())
+    assert {r["dimension"]: r["residual"] < 1e-6 for r in mixing.residual(raked, mixing.targets(), ("source",)).collect()} == dict.fromkeys(mixing.DIMS, True)
+    # The same by a plain loop.
+    weight = {(r["source"], r["lang"], r["topic"]): float(r["n_tokens"]) for r in cells.collect()}
+    for k in range(3 * mixing.ROUNDS):
+        sums = {}
+        for cell, w in weight.items():
+            sums[cell[k % 3]] = sums.get(cell[k % 3], 0) + w
+        goal = ({f"s{i}": 1.0 for i in range(5)}, mixing.LANGS, mixing.TOPICS)[k % 3]
+        weight = {cell: w * goal[cell[k % 3]] / sums[cell[k % 3]] for cell, w in weight.items()}
+    assert all(abs(weight[r["source"], r["lang"], r["topic"]] - r["weight"]) < 1e-12 for r in raked.collect())
     out = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
     assert len(out) == docs.count() and max(r["probability"] for r in out) == 1.0 and all(0 <= r["probability"] <= 1 for r in out)
     assert mixing.calibrate(docs.limit(0), mixing.targets()).count() == 0
@@ -221,13 +249,25 @@ def test_mixing_fits_marginals(spark, docs):
     drawn = sum(min(n, found["factor"] * w) for n, w in ((5, 0.5), (60_000, 0.3), (40_000, 0.2)))
     assert found["n"] == 4 and abs(drawn - 0.5 * 100_005) < 1e-3
     assert mixing.factor(rare.limit(0), 0.5).first()["factor"] is None
-    mixing_cells = mixing.CELLS
-    try:
-        mixing.CELLS = 0  # the join by cell and salt
-        again = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
-    finally:
-        mixing.CELLS = mixing_cells
-    assert sorted(map(str, out)) == sorted(map(str, again))
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    monkeypatch.setattr(mixing.rake, "__defaults__", ((), 2))
+    few = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
+    monkeypatch.setattr(mixing, "CELLS", 0)  # the steps as tables, the join by cell and salt
+    many = mixing.calibrate(docs, mixing.targets(), ("source",)).select("doc_id", "mix.*").collect()
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_mixing_keeps_clashing_columns_and_draws_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing.rake, "__defaults__", ((), 2))
+    rows = [(k, words(20 + k % 7, k), "en" if k % 3 else "de", f"s{k % 2}", "m", "n", 1.5, "r", "c") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix string, n_tokens string, probability double, repeats string, _c_r string")
+    got = mixing.sample(df, 0.9)
+    assert got.columns == [*df.columns, "n_tokens_", "probability_", "repeats_"]
+    assert set(tuple(r)[:9] for r in got.collect()) <= set(rows) and got.where("mix = 'm' and n_tokens = 'n' and repeats = 'r' and _c_r = 'c'").count() == got.count() > 10
+    whole = mixing.calibrate(df, mixing.targets(), ("source",), 2.0)
+    assert whole.columns[-1] == "mix_"
+    copies = {r["doc_id"]: (r["n"], r["repeats_"]) for r in mixing.sample(df, 2.0, copies=True).groupBy("doc_id", "repeats_").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(n - often) < 1 for n, often in copies.values()) and any(n > 1 for n, _ in copies.values())
 
 
 def test_topic_is_what_its_docstring_and_sql_say(spark):
@@ -424,6 +464,35 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_report_every_copy(spark):
+    """Templates planted among other words: by construction every copy is known, with its span and coverage."""
+    r = random.Random(12)
+    notices = [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("MIT", licenses._MIT), ("MIT", licenses._MIT + licenses._MIT_END), ("Apache-2.0", licenses.TEMPLATES["Apache-2.0"][1]), ("MPL-2.0", licenses.TEMPLATES["MPL-2.0"][0]), ("CC0-1.0", licenses.TEMPLATES["CC0-1.0"][0]), ("Unlicense", licenses.TEMPLATES["Unlicense"][0])]
+    cases = [[(n, gap) for _ in range(3)] for n in notices for gap in (0, 1, 2, 3, 5, 12, 20, 80, 100, 200)]
+    cases += [[(r.choice(notices), r.randrange(40)) for _ in range(r.randrange(1, 6))] for _ in range(30)]
+    texts, want = [], []
+    for case in cases:
+        out, spans = [f"w{r.randrange(99)}" for _ in range(r.randrange(30))], []
+        for (name, text), gap in case:
+            own = licenses.words(re.sub(r"[\[\]]", "", text))
+            spans.append((name, len(out), len(out) + len(own), 1.0))
+            out += own + [f"w{r.randrange(99)}" for _ in range(gap)]
+        texts.append(" ".join(out))
+        want.append(spans)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [tuple(f) for f in x["found"]] for x in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(want))] == want
+    # Words that tell nothing are left out or changed: coverage is what is left.
+    mit = licenses.words(licenses._MIT)
+    for _ in range(20):
+        gone = set(r.sample([k for k in range(1, len(mit) - 30)], r.randrange(1, 12)))
+        text = ["x"] * 5 + [w if k not in gone else "zzz" for k, w in enumerate(mit)] + ["y"] * 5
+        ((name, first, last, share),) = licenses.find(text)
+        assert (name, first, last) == ("MIT", 5, 5 + len(mit)) and abs(share - (len(mit) - len(gone)) / len(mit)) < 1e-9
+    own = licenses.scan(df.limit(1).select("doc_id", F.lit("so it is under House Rules 7 here, house rules 8").alias("text")), {"House": ["[under House Rules 7]"], "Eight": ["House Rules 8"], "None": ["..."]}).first()
+    assert [tuple(f) for f in own["found"]] == [("House", 3, 7, 1.0), ("Eight", 8, 11, 1.0)]
+
+
 def test_licenses_tell_neighbours_apart(spark):
     gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -448,26 +517,3 @@ def test_licenses_tell_neighbours_apart(spark):
     got = {cases[r["doc_id"]]: ",".join(f["license"] for f in r["found"]) for r in licenses.scan(df).collect()}
     assert {t[:99]: got[t] for t in cases if want[t] is not None} == {t[:99]: x for t, x in want.items() if x is not None}
     assert all(got[t] in ("", name) for t, name in zip(cases[1:], [want[x] for x in cases], strict=False) if want[t] is None)
-
-
-def test_pipeline_matches_brute_force(spark, tmp_path):
-    r = random.Random(9)
-    rows = [(k, words(r.randrange(15, 200), k), "en", f"s{k % 3}") for k in range(60)]
-    rows += [(100 + k, rows[k][1] + " more", "en", "s0") for k in range(10)] + [(200, "### $$$ " * 20, "en", "s0"), (201, rows[20][1] + " token=abcdefghij", "de", "s1")]
-    bench = " ".join(rows[30][1].split()[:14])
-    folder = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    seen = {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema if name != "mixing" else None)
-        seen[name] = {x["doc_id"]: x for x in docs.collect()}
-    ids = set(range(60))
-    assert set(seen["quality rules"]) == {x[0] for x in rows} - {200} - {x[0] for x in rows if len(x[1].split()) < 10}
-    gone = set(seen["quality rules"]) - set(seen["near duplicates"])
-    assert gone <= {*range(100, 110), 201} and 100 in gone | set(seen["near duplicates"])
-    assert set(seen["near duplicates"]) - set(seen["decontamination"]) == {30}
-    assert all(x["n_chars"] == len(x["text"]) for x in seen["secret scans"].values())
-    final = {x["doc_id"] for x in corpus_pipeline.run(spark, folder).collect()}
-    assert final == set(seen["mixing"]) and final <= ids | set(range(100, 202))

@@ -12,13 +12,15 @@ Scale: one narrow scan, no shuffle; runs are found on byte arrays, and Python lo
 scanned in slices of bounded bytes (one text at least). Spans are in code points, end exclusive.
 
 Nulls and repeats: a null text is empty and has no spans; a null doc_id is carried; each row has one
-row in the result, repeated or not. Extra columns are ignored (redact keeps them).
+row in the result, repeated or not; an empty table gives no rows. Very long texts are scanned whole, in time that follows their length.
+Extra columns are ignored (redact keeps them, and sets an integer n_chars to the new length).
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import json
 import re
 import struct
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from weft.llm._shared import LOWER, chunks, only, small_batches, text_buffer, word_spans
 
@@ -40,7 +42,8 @@ _SPANS = "array<struct<kind: string, start: long, end: long>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
+_SEALED = re.compile(r"Proc-Type:\s*4,ENCRYPTED.*?DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}", re.DOTALL)
 _ENDS = re.compile(r"\s|\\+(?:[nrt]|u000[ad]|x0[ad]|(?=\s))|%0[ad]|&#(?:10|13|x[ad]);", re.IGNORECASE)
 _NEXT = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*([A-Za-z0-9+/_=.-]+)")
 _PART, _TOKEN = re.compile(r"[A-Za-z0-9_=-]+"), re.compile(r"[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_-]*")
@@ -133,31 +136,67 @@ def _decoded(text: str) -> bytes | None:
         return None
 
 
+def _object(text: str) -> dict | None:
+    """The JSON object that base64 text holds."""
+    try:
+        got = json.loads(_decoded(text) or b"")
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def _can_begin(run: str, at: int, end: int) -> bool:
+    """False if some first characters of run[at:end] already show that it is no base64 of JSON; so most places are left after a few of them."""
+    n = 64
+    while at + n < end:
+        try:
+            said = codecs.getincrementaldecoder("utf-8")().decode(_decoded(run[at : at + n]) or b"")
+            json.loads(said)
+            return False  # it ends before the text does
+        except json.JSONDecodeError as e:
+            if e.pos < len(said) - 12 and not e.msg.startswith("Unterminated string"):
+                return False
+        except (UnicodeDecodeError, RecursionError):
+            return False
+        n *= 2
+    return True
+
+
+def _rest(payload: str, signature: str) -> int:
+    """What follows a header: 0 if it belongs to no token, 1 if to one without a signature, 2 if to any."""
+    if _object(payload) is None:
+        return 0
+    return 2 if len(_decoded(signature) or b"") >= 16 else 1
+
+
+def _header(run: str, at: int, end: int, rest: int) -> bool:
+    """Whether run[at:end] is a token's header, JSON with an algorithm, that fits what follows."""
+    if not rest or not _can_begin(run, at, end):
+        return False
+    alg = (_object(run[at:end]) or {}).get("alg")
+    return isinstance(alg, str) and (rest == 2 or alg.lower() == "none")
+
+
 def is_token(text: str) -> bool:
     """header.payload.signature, the header JSON with an algorithm, the payload JSON."""
     parts = text.split(".")
-    if len(parts) != 3 or not all(parts[:2]):
-        return False
-    try:
-        header, payload = (json.loads(_decoded(p) or b"") for p in parts[:2])
-    except ValueError:
-        return False
-    if not isinstance(header, dict) or not isinstance(header.get("alg"), str) or not isinstance(payload, dict):
-        return False
-    return header["alg"].lower() == "none" or len(_decoded(parts[2]) or b"") >= 16
+    return len(parts) == 3 and all(parts[:2]) and _header(text, 0, len(parts[0]), _rest(*parts[1:]))
 
 
 def _tokens(run: str) -> Iterator[tuple[str, int, int]]:
-    """Confirmed tokens within one run of base64 and dot characters."""
-    at = run.find("eyJ")
+    """Confirmed tokens within one run of base64 and dot characters. What follows a first part is read once for all places where a token can begin in it."""
+    at, dot, rest, end = run.find("eyJ"), -1, 0, 0
     while at >= 0:
-        end = _TOKEN.match(run, at)
-        if end and is_token(end[0]):
-            yield "jwt", at, end.end()
-            at = run.find("eyJ", end.end())
+        if at >= dot:
+            token = _TOKEN.match(run, at)
+            dot, end = _PART.match(run, at).end(), token.end() if token else 0
+            rest = _rest(*token[0].split(".")[1:]) if token else 0
+        if _header(run, at, dot, rest):
+            yield "jwt", at, end
+            at, dot = run.find("eyJ", end), -1
         else:
-            # Without the three parts no place in this first part can begin a token, so a long run is passed once.
-            at = run.find("eyJ", at + 3 if end else _PART.match(run, at).end())
+            # Without the other parts no place in this first part can begin a token, so a long run is passed once.
+            at = run.find("eyJ", at + 3 if rest else dot)
 
 
 def _reader(text: str, start: int, hexed: bool) -> Callable[[int, int], bytes]:
@@ -261,10 +300,11 @@ def _keys(run: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _pems(text: str) -> Iterator[tuple[int, int]]:
-    """Confirmed PEM blocks, their line ends plain or escaped."""
+    """Confirmed PEM blocks, their line ends plain or escaped. Of one that is sealed by a password only the headers and whole cipher blocks can be confirmed."""
     for m in _PEM.finditer(text):
-        data = _decoded(_ENDS.sub("", m[2]).replace("\\/", "/"))
-        if data and (is_der_key(data) or is_openssh_key(data)):
+        sealed = _SEALED.search(m[2])
+        data = _decoded(_ENDS.sub("", m[2][sealed.end() if sealed else 0 :]).replace("\\/", "/"))
+        if data and (len(data) >= 32 and len(data) % 8 == 0 if sealed else is_der_key(data) or is_openssh_key(data)):
             yield m.span()
 
 
@@ -346,7 +386,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = MARK) -> DataFrame:
     """documents with all secrets replaced by the mark, spans that touch or overlap by one; n_chars follows where a text changed."""
-    sized = "n_chars" in documents.columns
+    sized = any(f.name == "n_chars" and isinstance(f.dataType, IntegralType) for f in documents.schema.fields)
     schema = StructType([StructField(f.name, f.dataType) for f in documents.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
