@@ -6,8 +6,8 @@ shingle. Shingles are ordered by rarity, which is their number of documents in t
 rarest one of a window is joined with the shingles of the documents; the place of that shingle in
 the window and the lengths bound where the window can start, and the words there are compared exactly.
 
-Scale: documents are scanned twice and never shuffled. Both scans look shingles up in a bitmap of BITS_EACH bits for
-each shingle, so only rows that hold a benchmark shingle leave the scan: counts of
+Scale: documents are scanned twice and never shuffled. Both scans look shingles up in a bitmap of BITS_EACH bits at least for
+each shingle (1 in 200 others passes at most), so only rows that hold a benchmark shingle leave the scan: counts of
 shingles (combined by task), then candidates with the few words around them. A bitmap holds MOST shingles at most (16 MB); a larger benchmark takes
 more scans, each with the bitmap of another part of the shingles. Bitmaps are made of pieces by all tasks. Candidates are joined by
 shingle and salt, so a passage that a third of all documents share is spread. The benchmark is never collected.
@@ -33,6 +33,8 @@ from weft.llm._shared import ALNUM, LOWER, chunks, drop_shared, located, materia
 
 SPAN, SHINGLE, SHARE = 13, 3, 20
 BITS_EACH, MOST, PIECE = 16, 1 << 23, 1 << 15
+#: A shingle sets three bits of its bitmap, at these places of its hash; the highest bits say which bitmap.
+WINDOWS, WHICH = (0, 18, 36), 55
 SALTS = 16
 
 
@@ -75,11 +77,13 @@ class Known(NamedTuple):
         for width in self.widths:
             got, first = windows(hashes, rows, width)
             if self.parts > 1:
-                own = np.flatnonzero((got >> np.uint64(44)) % np.uint64(self.parts) == self.part)
+                own = np.flatnonzero((got >> np.uint64(WHICH)) % np.uint64(self.parts) == self.part)
                 got, first = got[own], first[own]
-            at = (got & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
-            keep = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            yield width, got[keep], first[keep]
+            for low in WINDOWS:
+                at = (got >> np.uint64(low) & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
+                keep = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                got, first = got[keep], first[keep]
+            yield width, got, first
 
 
 def known(shingles: DataFrame) -> list[Broadcast]:
@@ -88,8 +92,9 @@ def known(shingles: DataFrame) -> list[Broadcast]:
     n = shingles.count()
     parts = max(1, -(-n // MOST))
     size = max(PIECE, 1 << (BITS_EACH * -(-n // parts) - 1).bit_length()) if n else PIECE
-    at = F.col("shingle").bitwiseAND(F.lit(size - 1))
-    pieces = shingles.select(F.pmod(F.shiftrightunsigned("shingle", 44), F.lit(parts)).alias("part"), F.shiftright(at, PIECE.bit_length() - 1).alias("piece"), at.bitwiseAND(F.lit(PIECE - 1)).alias("at"))
+    places = F.explode(F.array(*[F.shiftrightunsigned("shingle", low).bitwiseAND(F.lit(size - 1)) for low in WINDOWS])).alias("at")
+    pieces = shingles.select(F.pmod(F.shiftrightunsigned("shingle", WHICH), F.lit(parts)).alias("part"), places)
+    pieces = pieces.select("part", F.shiftright("at", PIECE.bit_length() - 1).alias("piece"), F.col("at").bitwiseAND(F.lit(PIECE - 1)).alias("at"))
     pieces = pieces.groupBy("part", "piece").agg(F.bitmap_construct_agg("at").alias("bits"))
     out = []
     for part in range(parts):
