@@ -5,15 +5,15 @@ the end records (ZIP64 as well), the central directory and a member's local head
 where a stored member lies; index lines give the offsets of records; runs of neighbouring records
 are read as byte ranges and parsed.
 
-Scale: payload digests are shuffled, payloads are not (the digests that occur twice are a
-table; it is joined by digest and salt where it is too large to broadcast by Spark's own size bound). Writers
+Scale: payloads are never shuffled. Digests alone are grouped; of the rows whose payload stands earlier, the places and the
+first page's id are written, and the writers find them as they scan the pages. Writers
 stream and start a new package at PACKAGE bytes. The reader deals ranges of about RANGE bytes, not packages, to
-tasks. Packages are in the shared folder under a name of their own per attempt; only those of finished tasks are in the manifest,
+tasks of about TASK bytes. Packages are in the shared folder under a name of their own per attempt; only those of finished tasks are in the manifest,
 so a lost executor leaves nothing that is read.
 
 Nulls and repeats: null html is an empty payload, a null url an empty target, a null page_id is carried
 (never the first of its group). Rows that repeat the smallest page_id of a payload are all
-responses. An empty table gives no records. Extra columns are ignored.
+responses. An empty table gives no records. A very long page is one record, held whole by its writer and its reader. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._shared import materialize, only, salts, shared_dir
+from weft.llm._shared import Found, Places, drop_shared, located, materialize, only, shared_dir, small_batches
 
-LEAST, SALTS = 100, 16
-PACKAGE, RANGE = 256 << 20, 1 << 20
+LEAST = 100
+PACKAGE, RANGE, TASK = 256 << 20, 1 << 20, 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 URN = "urn:page:"
 
@@ -49,6 +49,8 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _read(f, at: int, size: int) -> bytes:
+    if at < 0 or at + size > 1 << 62:
+        raise ValueError(f"no place in a file: {size} bytes at {at}")
     f.seek(at)
     out = f.read(size)
     if len(out) != size:
@@ -57,7 +59,14 @@ def _read(f, at: int, size: int) -> bytes:
 
 
 def directory(f, size: int) -> dict[str, dict]:
-    """Members of a ZIP file by name: method, compressed and plain size, place of the local header."""
+    """Members of a ZIP file by name: method, compressed and plain size, place of the local header. ValueError if it is damaged."""
+    try:
+        return _directory(f, size)
+    except (struct.error, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"damaged ZIP directory: {e}") from None
+
+
+def _directory(f, size: int) -> dict[str, dict]:
     tail_at = max(0, size - 22 - 65535)
     tail = _read(f, tail_at, size - tail_at)
     k = tail.rfind(_EOCD)
@@ -163,7 +172,7 @@ def _page_record(page: int | None, url: str | None, payload: bytes, first: int |
 
 
 def _written(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(triples: Iterator[Found]) -> Iterator[pa.RecordBatch]:
         package, done, index, at, n = None, [], [], 0, 0
 
         def close() -> None:
@@ -174,11 +183,12 @@ def _written(folder: str):
                 out.write("".join(index).encode())
             zf.close()
             f.close()
-            done.append((path, n))
+            done.append((path, n, at))
             package = None
 
-        for batch in batches:
-            for page, url, html, first, digest in zip(*[batch.column(c) for c in ("page_id", "url", "html", "first", "digest")], strict=True):
+        for batch, found, entries in triples:
+            firsts = dict(zip(found.tolist(), entries.column("first").to_pylist(), strict=True)) if entries else {}
+            for k, (page, url, html) in enumerate(zip(*[batch.column(c) for c in ("page_id", "url", "html")], strict=True)):
                 if package is None:
                     files, base = _at(folder)
                     files.create_dir(base, recursive=True)
@@ -187,9 +197,7 @@ def _written(folder: str):
                     zf = zipfile.ZipFile(f, "w", zipfile.ZIP_STORED)
                     package, index, at, n = (zf, zf.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), f, f"{folder}/{path.rsplit('/', 1)[1]}"), [], 0, 0
                 payload = (html.as_py() or "").encode()
-                if hashlib.sha256(payload).hexdigest() != digest.as_py():
-                    raise ValueError("a payload's digest changed on its way to the writer")
-                data = _gz(_page_record(page.as_py(), url.as_py(), payload, first.as_py(), digest.as_py()))
+                data = _gz(_page_record(page.as_py(), url.as_py(), payload, firsts.get(k), hashlib.sha256(payload).hexdigest()))
                 package[1].write(data)
                 index.append(json.dumps({"offset": at, "length": len(data)}) + "\n")
                 at, n = at + len(data), n + 1
@@ -197,21 +205,22 @@ def _written(folder: str):
                     close()
         if package is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["package", "n_records"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["package", "n_records", "n_bytes"])
 
     return run
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages (page_id, url, html) to packages below folder; their manifest: package, n_records."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2("html", 256))
-    twice = rows.where(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    firsts = materialize(twice.withColumn("salt", salts(SALTS)))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    first = F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first"))
-    joined = salted.join(firsts, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", first.alias("first"))
-    return materialize(joined.mapInArrow(_written(folder), "package string, n_records long"))
+    """Write the pages (page_id, url, html) to packages below folder; their manifest: package, n_records, n_bytes."""
+    rows, file, row = located(only(pages, "page_id", "url", "html"))
+    rows = small_batches(rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.col(file).alias("file"), F.col(row).alias("row")))
+    digests = materialize(rows.where(F.octet_length("html") >= LEAST).select(F.unhex(F.sha2("html", 256)).alias("digest"), "page_id", "file", "row"))
+    firsts = materialize(digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
+    later = Places(digests.join(firsts, "digest").where("page_id is null or page_id <> first").select("file", "row", "first"))
+    out = materialize(later.find(rows, "file", "row", _written(folder), "package string, n_records long, n_bytes long"))
+    later.drop()
+    drop_shared(digests, firsts)
+    return out
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +276,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_packages(manifest: DataFrame) -> DataFrame:
     """The records of the packages: record_type, record_id, target_uri, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
-    # A number given outright: rows of ranges are tiny, and merged by their own size few tasks would read all the bytes.
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number by the packages' bytes: rows of ranges are tiny, and merged by their own size few tasks would read all the bytes.
+    size = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     dealt = manifest.select("package").repartition(parts, "package").mapInArrow(_ranges, "package string, start long, length long").repartition(parts, "package", "start")
     return dealt.mapInArrow(_records, "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 
