@@ -7,23 +7,27 @@ by a hash of its id, so a draw repeats itself on any cluster. The factor is set
 drawn. A cell with too few tokens for its weight is drawn whole and says by `repeats` over 1 how often to
 read it; so a rare cell doesn't thin out all others, and tokens times repeats / probability fit the targets.
 
+The topics of the registered query are forms of a text (list, short, medium, long), by its bars and its number of words; they say nothing of its subject.
+
 Scale: only DataFrame operations. Documents are scanned for their cell and tokens, summed on
-the map side; what is raked is the cell table, by window sums in one lineage of small exchanges, written
-once. Documents meet their cell by broadcast if the table is at most CELLS rows (counted), else by a
+the map side; what is raked is the cell table, by window sums if it is at most CELLS rows (counted), else by sums combined on the map side.
+Documents meet their cell by broadcast if the table is that small, else by a
 join on the cell and a salt, so that a source with a third of all rows is spread.
 
-Nulls and repeats: a null source, language or topic is a value of its own; a null or empty text has no tokens and is drawn
+Nulls and repeats: a null source, language or topic is a value of its own (the same as the text \\N); a null or empty text has no tokens and is drawn
 with its cell's rate (a cell without tokens has weight 0: rate 0). A null doc_id draws as the text "null". Repeated rows
 count twice and draw alike. Targets name values; their weights are scaled to sum 1 over the values that occur,
-and a dimension without targets keeps its present marginal. Extra columns are kept by sample().
+and a dimension without targets keeps its present marginal. Very long texts are counted whole; an empty table gives no rows. Extra columns are kept by sample().
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm._shared import materialize, only, salts
+from weft.llm._shared import drop_shared, free_name, materialize, only, own, salts
 
 ROUNDS, CELLS, SALTS, DIGITS = 12, 20_000, 16, 10
 DIMS = ("source", "lang", "topic")
@@ -53,32 +57,57 @@ def _named(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
-def with_cells(documents: DataFrame) -> DataFrame:
-    """documents with n_tokens and cell (a struct of source, lang, topic) in one struct column `mix`."""
+def with_cells(documents: DataFrame, named: str = "mix") -> DataFrame:
+    """documents with n_tokens and cell (source, lang, topic) in one struct column; its name must be free."""
     n = tokens(F.col("text").cast("string"))
-    first = documents.withColumn("mix", n)
-    return first.withColumn("mix", F.struct(F.col("mix").alias("n_tokens"), _named("source").alias("source"), _named("lang").alias("lang"), topic(F.col("text").cast("string"), F.col("mix")).alias("topic")))
+    first = documents.withColumn(named, n)
+    return first.withColumn(named, F.struct(F.col(named).alias("n_tokens"), _named("source").alias("source"), _named("lang").alias("lang"), topic(F.col("text").cast("string"), F.col(named)).alias("topic")))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, n_tokens, n_docs) with weight, which sums to 1 and fits the targets.
-
-    targets: dimension -> value -> weight; a value without one gets the mean of the stated ones. even: dimensions with equal shares."""
-    out = cells.withColumn("weight", F.col("n_tokens").cast("double"))
-    goals = {}
+def _goals(targets: dict[str, dict[str, float]], even: tuple[str, ...]) -> dict[str, Column]:
+    """For each raked dimension the share of its values, up to one factor for all of them."""
+    out = {}
     for dim in DIMS:
         if dim in even:
-            goals[dim] = F.lit(1.0)
+            out[dim] = F.lit(1.0)
         elif dim in targets:
             mean = sum(targets[dim].values()) / len(targets[dim])
-            goals[dim] = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(targets[dim].items()) for x in pair])[F.col(dim)], F.lit(mean))
+            out[dim] = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(targets[dim].items()) for x in pair])[F.col(dim)], F.lit(mean))
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
+    """cells (source, lang, topic, n_tokens, n_docs) with weight, which fits the last raked dimension and nearly the others (see residual).
+
+    targets: dimension -> value -> weight; a value without one gets the mean of the stated ones. even: dimensions with equal shares.
+    Up to CELLS cells, all steps are window sums in one plan. Beyond, sums by value are combined on the map side and only their few rows meet the cells again, so
+    that a value with most of the cells is spread over all tasks; each step is a table. Both do the same arithmetic."""
+    held = materialize(cells.withColumn("weight", F.col("n_tokens").cast("double")))
+    out, few = held, held.count() <= CELLS
     for _ in range(rounds):
-        for dim, goal in goals.items():
-            total = F.sum("weight").over(Window.partitionBy(dim))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * goal / total).otherwise(F.lit(0.0)))
+        for dim, goal in _goals(targets, even).items():
+            if few:
+                total = F.sum("weight").over(Window.partitionBy(dim))
+                out = out.withColumn("weight", F.when(total > 0, F.col("weight") * goal / total).otherwise(F.lit(0.0)))
+                continue
+            sums = out.groupBy(F.col(dim).alias("_of")).agg(F.sum("weight").alias("_total"))
+            scaled = F.when(F.col("_total") > 0, F.col("weight") * goal / F.col("_total")).otherwise(F.lit(0.0))
+            new = materialize(out.join(sums, out[dim] == F.col("_of")).withColumn("weight", scaled).drop("_of", "_total"))
+            drop_shared(out)
+            out = new
     return out
 
 
+def residual(raked: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...] = ()) -> DataFrame:
+    """dimension, residual: how far the share of any value with weight lies from its target at most."""
+    parts = []
+    for dim, goal in _goals(targets, even).items():
+        own = raked.groupBy(dim).agg(F.sum("weight").alias("weight")).where("weight > 0").select("weight", goal.alias("goal"))
+        weights, goals = own.agg(F.sum("weight"), F.sum("goal")).first()
+        parts.append(own.agg(F.max(F.abs(F.col("weight") / F.lit(weights) - F.col("goal") / F.lit(goals))).alias("residual")).select(F.lit(dim).alias("dimension"), "residual"))
+    return reduce(DataFrame.union, parts)
+
+
 def factor(raked: DataFrame, share: float) -> DataFrame:
     """One row: factor c, so that the sum of min(n_tokens, c * weight) is share of the tokens of cells with a rate, and n, the number of cells.
 
@@ -94,24 +123,32 @@ def factor(raked: DataFrame, share: float) -> DataFrame:
 
 
 def calibrate(documents: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...] = (), share: float = SHARE) -> DataFrame:
-    """documents with a struct `mix`: n_tokens, source, lang, topic, probability, repeats and sampled."""
-    docs = with_cells(documents)
-    cells = docs.select("mix.*").groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
+    """documents with a struct `mix` (`mix_` and so on where documents have that): n_tokens, source, lang, topic, probability, repeats and sampled."""
+    return _calibrated(documents, targets, even, share)[0]
+
+
+def _calibrated(documents: DataFrame, targets: dict[str, dict[str, float]], even: tuple[str, ...], share: float) -> tuple[DataFrame, str]:
+    """What calibrate gives, and the name of the struct."""
+    mix = free_name(documents, "mix")
+    docs = with_cells(documents, mix)
+    cells = docs.select(f"{mix}.*").groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     raked = materialize(rake(cells, targets, even).withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(F.lit(0.0))))
     found = factor(raked, share).first()
     c = F.lit(found["factor"] or 0.0)
     repeats = F.round(c * F.col("rate"), DIGITS)
-    rates = raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMS], repeats.alias("_c_r"))
-    same = [F.col(f"mix.{d}") == F.col(f"_c_{d}") for d in DIMS]
+    # One struct with a free name, so that no column of documents clashes with a rate's.
+    cell = free_name(docs, "cell")
+    rates = raked.select(F.struct(*DIMS, repeats.alias("repeats")).alias(cell))
+    same = [F.col(f"{mix}.{d}") == F.col(f"{cell}.{d}") for d in DIMS]
     if found["n"] <= CELLS:
         joined = docs.join(F.broadcast(rates), same, "left")
     else:
-        salt = F.pmod(F.xxhash64(F.col("doc_id"), F.col("mix.n_tokens")), F.lit(SALTS))
-        spread = rates.withColumn("_c_salt", salts(SALTS))
-        joined = docs.join(spread, [*same, salt == F.col("_c_salt")], "left")
-    r = F.coalesce(F.col("_c_r"), F.lit(0.0))
+        salt = F.pmod(F.xxhash64(F.col("doc_id"), F.col(f"{mix}.n_tokens")), F.lit(SALTS))
+        spread = rates.select(cell, salts(SALTS).alias(f"{cell}_salt"))
+        joined = docs.join(spread, [*same, salt == F.col(f"{cell}_salt")], "left")
+    r = F.coalesce(F.col(f"{cell}.repeats"), F.lit(0.0))
     p = F.least(F.lit(1.0), r)
-    return joined.withColumn("mix", F.struct("mix.*", p.alias("probability"), r.alias("repeats"), (draw(F.col("doc_id")) < p).alias("sampled"))).select(*documents.columns, "mix")
+    return joined.select(*own(documents), F.struct(f"{mix}.*", p.alias("probability"), r.alias("repeats"), (draw(F.col("doc_id")) < p).alias("sampled")).alias(mix)), mix
 
 
 def draw(doc_id: Column) -> Column:
@@ -123,9 +160,18 @@ def targets() -> dict[str, dict[str, float]]:
     return {"lang": LANGS, "topic": TOPICS}
 
 
-def sample(documents: DataFrame, share: float = SHARE) -> DataFrame:
-    """The drawn rows of documents, with their columns, n_tokens, probability and repeats."""
-    return calibrate(documents, targets(), ("source",), share).where("mix.sampled").select(*documents.columns, F.col("mix.n_tokens").alias("n_tokens"), F.col("mix.probability").alias("probability"), F.col("mix.repeats").alias("repeats"))
+def sample(documents: DataFrame, share: float = SHARE, copies: bool = False) -> DataFrame:
+    """The drawn rows of documents, with their columns, n_tokens, probability and repeats (n_tokens_ and so on where documents have these columns, which stay).
+
+    copies: a row with repeats over 1 comes that often (the fraction by the draw), so that the drawn tokens themselves fit the targets."""
+    drawn, mix = _calibrated(documents, targets(), ("source",), share)
+    more = [F.col(f"{mix}.{c}").alias(free_name(documents, c)) for c in ("n_tokens", "probability", "repeats")]
+    if not copies:
+        return drawn.where(F.col(f"{mix}.sampled")).select(*own(documents), *more)
+    whole = F.floor(f"{mix}.repeats")
+    often = (whole + (draw(F.col("doc_id")) < F.col(f"{mix}.repeats") - whole).cast("long")).cast("int")
+    each = free_name(drawn, "copy")
+    return drawn.withColumn(each, F.explode(F.array_repeat(F.lit(0), often))).select(*own(documents), *more)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
