@@ -15,7 +15,8 @@ a template is aligned only in texts that hold its telling words, around the rare
 fixed values of about 150 KB. Word fingerprints only propose; words are aligned as text.
 
 Nulls and repeats: a null or empty text has no findings; a null doc_id is carried; each row has one
-row in the result, repeated or not; a license that stands twice has two spans. Extra columns are ignored.
+row in the result, repeated or not; a license that stands several times has a span for each, however near they stand. Findings with the same words and
+coverage: the one that begins first, then the first name. Very long texts are scanned whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,6 +96,9 @@ TEMPLATES = {
     "BSD-3-Clause": [_BSD_2 + _BSD_3, _BSD_2 + _BSD_3 + _BSD_END, *_notices("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License")],
     "BSD-4-Clause": [_BSD_2 + _BSD_4 + _BSD_3, _BSD_2 + _BSD_4 + _BSD_3 + _BSD_END, *_notices("BSD 4-Clause License", "4-Clause BSD License", "BSD-4-Clause")],
     "BSD": [_BSD.replace("Redistributions of source code", "[Redistributions of source code]")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the [Mozilla Public License, v. 2.0]. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", *_notices("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0")],
+    "Unlicense": ["This is free and [unencumbered software released into the public domain]. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", *_notices("Unlicense")],
+    "CC0-1.0": ["To the extent possible under law, the author has [waived all copyright and related or neighboring rights] to this work.", "[CC0 1.0 Universal]", *_notices("CC0 1.0", "CC0-1.0", "Creative Commons Zero v1.0 Universal")],
 }
 
 #: Whole texts and the words in them that tell.
@@ -143,10 +147,19 @@ class Template:
         self.need = needed(len(self.words))
 
 
+#: Names and texts of templates; None: those of this module.
+Given = tuple[tuple[str, str], ...] | None
+
+
+def given(templates: dict[str, list[str]] | None) -> Given:
+    """Templates of one's own: name -> texts, with what tells them apart in brackets (a text without brackets tells as a whole)."""
+    return None if templates is None else tuple((name, t if "[" in t else f"[{t}]") for name, own in templates.items() for t in own)
+
+
 @cache
-def _templates() -> list[Template]:
-    found = [(name, t) for name, own in TEMPLATES.items() for t in own] + list(_whole())
-    return [Template(*f) for f in dict.fromkeys(found)]
+def _templates(own: Given = None) -> list[Template]:
+    found = [(name, t) for name, own_ in TEMPLATES.items() for t in own_] + list(_whole()) if own is None else own
+    return [t for t in (Template(*f) for f in dict.fromkeys(found)) if any(words for _, words in t.tells)]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,18 +230,18 @@ def _place(text: list[str], template: Template, tell: int, p: int, low: int) ->
     return pairs if whole else None
 
 
-def find(text: list[str], among: list[int] | None = None) -> list[tuple[str, int, int, float]]:
+def find(text: list[str], among: list[int] | None = None, own: Given = None) -> list[tuple[str, int, int, float]]:
     """(license, first word, last word + 1, coverage) in a text; among: the templates that can stand there."""
-    found = []
+    found, held = [], _templates(own)
     where: dict[str, list[int]] = {}
     for k, w in enumerate(text):
         where.setdefault(w, []).append(k)
-    for template in _templates() if among is None else [_templates()[k] for k in among]:
+    for template in held if among is None else [held[k] for k in among]:
         stands = []
-        for _, own in template.tells:
+        for _, tell in template.tells:
             # By the rarest word of each tell.
-            rare = min(range(len(own)), key=lambda x: len(where.get(own[x], ())))
-            stands.append([k - rare for k in where.get(own[rare], ()) if k >= rare and text[k - rare : k - rare + len(own)] == own])
+            rare = min(range(len(tell)), key=lambda x: len(where.get(tell[x], ())))
+            stands.append([k - rare for k in where.get(tell[rare], ()) if k >= rare and text[k - rare : k - rare + len(tell)] == tell])
         tell, low = min(range(len(stands)), key=lambda x: len(stands[x])), 0
         for p in stands[tell] if all(stands) else ():
             pairs = _place(text, template, tell, p, low) if p >= low else None
@@ -243,9 +256,9 @@ def find(text: list[str], among: list[int] | None = None) -> list[tuple[str, int
 
 
 @cache
-def _telling() -> tuple[np.ndarray, np.ndarray]:
+def _telling(templates: Given = None) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all telling words, sorted, and for each template which of them it needs."""
-    own = [sorted({w for _, tell in t.tells for w in tell}) for t in _templates()]
+    own = [sorted({w for _, tell in t.tells for w in tell}) for t in _templates(templates)]
     raw, offs = text_buffer(pa.array([" ".join(w for ws in own for w in ws)]))
     starts, ends, _ = word_spans(raw, offs, ALNUM)
     known, at = np.unique(word_hashes(raw, starts, ends), return_inverse=True)
@@ -257,14 +270,14 @@ def _telling() -> tuple[np.ndarray, np.ndarray]:
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())]))
 
 
-def _found(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+def _found(batch: pa.RecordBatch, templates: Given = None) -> tuple[np.ndarray, pa.Array]:
     raw, offs = text_buffer(batch.column("text"))
     raw = LOWER[raw]
     starts, ends, rows = word_spans(raw, offs, ALNUM)
     hashes, n = word_hashes(raw, starts, ends), batch.num_rows
     counts = np.bincount(rows, minlength=n)
     base = np.concatenate([[0], np.cumsum(counts)])
-    known, need = _telling()
+    known, need = _telling(templates)
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     own = np.flatnonzero(known[at] == hashes)
     has = np.zeros((n, len(known)), bool)
@@ -274,16 +287,17 @@ def _found(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     data, out = raw.tobytes(), [[] for _ in range(n)]
     for i in np.flatnonzero(can.any(axis=1)):
         text = [data[a:b].decode() for a, b in zip(starts[base[i] : base[i + 1]], ends[base[i] : base[i + 1]], strict=True)]
-        out[i] = [dict(zip(("license", "first", "last", "coverage"), f, strict=True)) for f in find(text, np.flatnonzero(can[i]).tolist())]
+        out[i] = [dict(zip(("license", "first", "last", "coverage"), f, strict=True)) for f in find(text, np.flatnonzero(can[i]).tolist(), templates)]
     return counts.astype(np.int64), pa.array(out, _FOUND)
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, found (license, first word, last word + 1, coverage)."""
+def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, n_words, found (license, first word, last word + 1, coverage). templates: see given(); else those of this module."""
+    own = given(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            counts, found = _found(batch)
+            counts, found = _found(batch, own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), found], names=["doc_id", "n_words", "found"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
