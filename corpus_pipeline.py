@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads it from Parquet.
 Secrets are replaced in the text; the other stages drop rows.
+
+Nulls: a row without text has no words and goes with the quality rules; a null doc_id, lang or source is carried, and a null source or
+language is a value of its own in mixing. Empty texts go like null ones; very long texts pass every stage whole.
+Ties and repeated rows: of rows that repeat doc_id and text the near duplicates stage keeps one, as of any group of copies; draws go by
+doc_id, so rows of one doc_id are drawn alike. Empty tables: no documents give no rows, an empty benchmark contaminates nothing.
+Extra columns of documents stay, whatever their names; the last stage adds n_tokens, probability and repeats, with an
+underscore more where documents have such a column. run() deletes each stage's table when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, mixing, near_dedup, quality, secrets
-from weft.llm._shared import materialize
+from weft.llm._shared import drop_shared, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each over the written rows of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            if k:
+                drop_shared(before)
     return docs
