@@ -221,6 +221,11 @@ def _places(rows: str, named: str = "") -> list[Column]:
     return [F.shiftright(F.col(rows), TASK).alias(f"{named}file"), F.col(rows).bitwiseAND(F.lit((1 << TASK) - 1)).alias(f"{named}row")]
 
 
+def _parity(x: str, y: str) -> Column:
+    """The number of bits in which two bitmaps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
 def confirm(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are similar enough; pairs whose sizes and bitmaps rule that out aren't looked at. docs: of _texts."""
     marks = signed.select("n_shingles", "parity", "file", "row", *_places("row_id", "_at_"))
@@ -271,21 +276,22 @@ def _grouped(documents: DataFrame, file: str, row: str) -> DataFrame:
     looked, done = [stars], []
 
     def across() -> DataFrame:
-        """Pairs that share a bucket but no component, near by size and folded bitmap, and not looked at yet."""
+        """Pairs that share a bucket but no component, near by size and bitmap (the folded one is tried first), and not looked at yet."""
         label = components(edges)
         now = materialize(members.join(label, "node", "left").select("key", "node", F.when(F.col("node") == F.col("hub"), 1).alias("is_hub"), F.coalesce("comp", "node").alias("comp")))
         split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("is_hub") == 1, F.col("comp"))).alias("main")).where("low <> high")
         split = materialize(split.select("key", "main"))
         sizes = materialize(now.join(split, "key").select("key", "node", "comp", "main"))
-        nodes = sizes.select("node").distinct().join(signed.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), *_folded("parity")), "node")
+        nodes = sizes.select("node").distinct().join(signed.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "parity", *_folded("parity")), "node")
         open_ = materialize(sizes.join(nodes, "node"))
         done.extend((label, now, split, sizes, open_))
         one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "key"]) for side in "xy")
         differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"f{k}_x").bitwiseXOR(F.col(f"f{k}_y"))) for k in range(FOLDED)]).cast("long")
+        whole = _parity("parity_x", "parity_y")
         apart = F.col("comp_x") != F.col("comp_y")
         once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
-        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & _alike(differ, F.col("n_x") + F.col("n_y")))
-        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("node_x").alias("of"), (-differ).alias("same"))
+        pairs = one.where("comp_x <> main_x").join(two, "key").where(apart & once & _near(F.col("n_x"), F.col("n_y")) & _alike(differ, F.col("n_x") + F.col("n_y")) & _alike(whole, F.col("n_x") + F.col("n_y")))
+        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("node_x").alias("of"), (-whole).alias("same"))
         for old in looked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         return pairs
@@ -305,6 +311,7 @@ def _grouped(documents: DataFrame, file: str, row: str) -> DataFrame:
     label = components(edges)
     names = materialize(label.join(classes.select("node", "least_id"), "node").groupBy("comp").agg(F.min("least_id").alias("id")))
     named = materialize(classes.join(label, "node", "left").select("set_hash", "least_id", F.coalesce("comp", "node").alias("comp")))
+    drop_shared(edges, *looked)
     # Components of one class are named by it; of the others, a table of plain rows, so that AQE splits a large one.
     named = materialize(named.join(names, "comp", "left").select("set_hash", "comp", F.when(F.col("id").isNull(), F.col("least_id")).otherwise(F.col("id")).alias("found")))
     out = signed.select("row_id", "file", "row", "doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
