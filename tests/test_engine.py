@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from weft import cli, tables
+from weft import cli, queries, tables
 from weft.functions import codecs
 from weft.operators import diff, health, stats
 from weft.sources import headers, shards, tensors, writers
@@ -262,6 +262,18 @@ def test_encoded_columns_are_the_codec(spark):
         assert np.array_equal(got[value].to_numpy(np.float32), codecs.decode(kind, want.astype("<u2").tobytes()), equal_nan=True)
 
 
+def test_bf16_bits_keep_the_sign_of_what_rounds_to_zero(spark):
+    x = np.float32([-1e-45, 1e-45, -(2.0**-134), -(2.0**-133), -1e-40, -1e-9, -1.5, 0, 2])
+    f = __import__("pyspark").sql.functions
+    got = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k long, x float").select("k", codecs.bf16_bits(f.col("x")).alias("b")).orderBy("k").toPandas()
+    assert np.array_equal(got.b.to_numpy(), np.frombuffer(codecs.encode("BF16", x), "<u2"))
+
+
+def test_encode_queries_return_the_types_of_their_sql(spark):
+    for name in ("encode_bf16_roundtrip", "encode_f16_roundtrip"):
+        assert [t for _, t in queries.QUERIES[name](spark, "/root/testdata/sf0.001").dtypes] == ["string", "bigint", "bigint", "bigint", "float"]
+
+
 def test_medians_are_exact(spark):
     r = np.random.default_rng(9)
     norms = {"a": r.normal(10, 3, 5001), "b": r.normal(10, 3, 4000), "c": np.ones(3000), "d": np.r_[1.0, 2.0], "e": np.r_[5.0], "f": r.integers(0, 4, 3000).astype(float)}

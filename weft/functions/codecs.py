@@ -112,27 +112,27 @@ def bf16_rounded(x: Column) -> Column:
     return _rounded(x, 7, -126, 3.3895313892515355e38)
 
 
-def _bits(x: Column, digits: int, bias: int, top: int) -> Column:
-    """The bit pattern of a number that the format holds; zero without its sign, NaN the quiet one."""
-    size = F.abs(x.cast("double"))
+def _bits(x: Column, near: Column, digits: int, bias: int, top: int) -> Column:
+    """The bit pattern of near, the number of the format next to x, with the sign of x also where near is zero; zero itself without its sign, NaN the quiet one."""
+    size = F.abs(near.cast("double"))
     real = (size > 0) & (size < float("inf"))
     power = F.floor(F.log2(F.when(real, size).otherwise(F.lit(1.0)))).cast("double")
     small = F.round(size / F.pow(F.lit(2.0), F.lit(1.0 - bias - digits)))
     normal = (power + bias) * (1 << digits) + F.round((size / F.pow(F.lit(2.0), power) - 1) * (1 << digits))
     sign = F.when(x < 0, 1 << (digits + top.bit_length())).otherwise(0)
     out = F.when(power < 1 - bias, small).otherwise(normal)
-    out = F.when(F.isnan(x), F.lit(float(top * (1 << digits) + (1 << (digits - 1))))).when(size == float("inf"), F.lit(float(top * (1 << digits)))).when(size == 0, F.lit(0.0)).otherwise(out)
+    out = F.when(F.isnan(near), F.lit(float(top * (1 << digits) + (1 << (digits - 1))))).when(size == float("inf"), F.lit(float(top * (1 << digits)))).when(size == 0, F.lit(0.0)).otherwise(out)
     return out.cast("long") + sign
 
 
 def f16_bits(x: Column) -> Column:
     """The half-precision bit pattern of a float, without Python."""
-    return _bits(f16_rounded(x), 10, 15, 31)
+    return _bits(f16_rounded(x), f16_rounded(x), 10, 15, 31)
 
 
 def bf16_bits(x: Column) -> Column:
     """The bfloat16 bit pattern of a float, without Python."""
-    return _bits(bf16_rounded(x), 7, 127, 255)
+    return _bits(x, bf16_rounded(x), 7, 127, 255)
 
 
 def bf16_value(bits: Column) -> Column:

@@ -130,7 +130,7 @@ def decode_bf16_all(spark, d):
 
 def _encoded(kind: str, bits, rounded):
     def query(spark, d):
-        return planted(spark, d).select("tensor", "row", "pos", bits(F.col("x")).alias("bits"), rounded(F.col("x")).alias("value"))
+        return planted(spark, d).select("tensor", "row", F.col("pos").cast("long").alias("pos"), bits(F.col("x")).alias("bits"), rounded(F.col("x")).alias("value"))
 
     query.__name__ = f"encode_{kind}_roundtrip"
     return query
