@@ -308,6 +308,15 @@ def test_dump_is_what_the_file_holds(spark, demo, tmp_path):
     assert not skipped["decoded"] and skipped["parts"] is None and skipped["count"] is None
 
 
+def test_dumped_rows_keep_their_places_where_ids_have_gaps(spark, tmp_path):
+    ids = [0, 1, 5, 63, 64, 70, 1000003, 1000012, 1000032]
+    rows = [(k, [float(k % 7 + p) / 8 for p in range(64)], k % 3) for k in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["tensor"], r["at"]): r["value"] for r in queries.dump_values(spark, str(tmp_path)).where("not isnan(value)").collect()}
+    want = {(r["row"], r["pos"]): r["x"] for r in queries.planted(spark, str(tmp_path)).where("not isnan(x)").collect()}
+    assert got == {(f"emb.{row // 64}", row % 64 * 64 + pos): np.float32(np.float16(x)) for (row, pos), x in want.items()}
+
+
 def test_cli(spark, demo, capsys):
     def said(*args, status=0):
         assert cli.main([str(x) for x in args], spark) == status
