@@ -127,7 +127,7 @@ def _bits(x: Column, near: Column, digits: int, bias: int, top: int) -> Column:
 
 def f16_bits(x: Column) -> Column:
     """The half-precision bit pattern of a float, without Python."""
-    return _bits(f16_rounded(x), f16_rounded(x), 10, 15, 31)
+    return _bits(x, f16_rounded(x), 10, 15, 31)
 
 
 def bf16_bits(x: Column) -> Column:
